@@ -2,7 +2,8 @@
 
 A plain window puts one whole group into one task. When a group is larger than
 ``draftlake.rowsPerTask`` the rows are range-partitioned on (keys, order) instead, each range is scanned on
-its own, and only one summary row per range crosses to the next one.
+its own, and only one summary row per range crosses to the next one. Callers that chain several scans decide
+once, on the key columns of their input, and pass the answer down as ``hot``.
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return cut(ranged.withColumn("_blk", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, hot: bool | None = None,
+) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order`` within each key."""
     order = list(order)
-    if not has_hot_group(df, keys):
+    if not (has_hot_group(df, keys) if hot is None else hot):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
     ranged = _ranges(df.withColumn("_v", value), keys, order)
@@ -57,10 +60,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], val
     )
 
 
-def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+def running_max_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, hot: bool | None = None,
+) -> DataFrame:
     """Maximum of ``value`` over all earlier rows of the key (NULL on the first row)."""
     order = list(order)
-    if not has_hot_group(df, keys):
+    if not (has_hot_group(df, keys) if hot is None else hot):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumn(out, F.max(value).over(w))
     ranged = _ranges(df.withColumn("_v", value), keys, order)
@@ -77,10 +82,12 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     )
 
 
-def lag_value(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+def lag_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str, hot: bool | None = None,
+) -> DataFrame:
     """``value`` of the previous row of the key. ``order`` must be total and ``value`` a struct (never NULL)."""
     order = list(order)
-    if not has_hot_group(df, keys):
+    if not (has_hot_group(df, keys) if hot is None else hot):
         return df.withColumn(out, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
     ranged = _ranges(df.withColumn("_v", value).withColumn("_o", F.struct(*order)), keys, order)
     last = ranged.groupBy(*keys, "_blk").agg(F.max_by("_v", "_o").alias("_last"))
@@ -110,13 +117,15 @@ def attach(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame
     return df.join(df.groupBy(*keys).agg(*aggregates), list(keys), "left")
 
 
-def rank_value(counts: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, which: str = "upper") -> DataFrame:
+def rank_value(
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str, out: str, which: str = "upper", hot: bool | None = None,
+) -> DataFrame:
     """Exact order statistic per key from (keys, value, weight) rows with distinct values.
 
     ``which``: ``upper`` is the element at ``size div 2``; ``mean`` averages the two middle elements.
     """
     total = counts.groupBy(*keys).agg(F.sum(weight).alias("_total"))
-    ranked = running_sum(counts, keys, [F.col(value)], F.col(weight), "_cum").join(total, list(keys))
+    ranked = running_sum(counts, keys, [F.col(value)], F.col(weight), "_cum", hot).join(total, list(keys))
     upper = F.min(F.when(F.col("_cum") > F.floor(F.col("_total") / 2), F.col(value)))
     if which == "upper":
         return ranked.groupBy(*keys).agg(upper.alias(out))
@@ -124,10 +133,12 @@ def rank_value(counts: DataFrame, keys: Sequence[str], value: str, weight: str,
     return ranked.groupBy(*keys).agg(((lower + upper) / 2).alias(out))
 
 
-def median_by(df: DataFrame, keys: Sequence[str], value: Column, out: str, which: str = "upper") -> DataFrame:
+def median_by(
+    df: DataFrame, keys: Sequence[str], value: Column, out: str, which: str = "upper", hot: bool | None = None,
+) -> DataFrame:
     """Exact median per key; equal values are counted before anything is shuffled."""
     counts = (
         df.select(*keys, value.alias("_value")).where(F.col("_value").isNotNull())
         .groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_weight"))
     )
-    return rank_value(counts, keys, "_value", "_weight", out, which)
+    return rank_value(counts, keys, "_value", "_weight", out, which, hot)
