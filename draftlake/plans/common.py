@@ -41,3 +41,27 @@ def consensus_sql(keys: str, minimum: int, source: str = "readings", name: str =
   from {source} a join {name}_b b on {on} where abs(a.ratio / b.h - 1.0) <= 0.04::double),
 {name} as (select {keys}, max(case when pos = samples // 2 + 1 then ratio end) px_per_mm, max(samples)::bigint samples,
   (max(ratio) - min(ratio)) / max(case when pos = samples // 2 + 1 then ratio end) spread from {name}_i group by {keys})"""
+
+
+# Printed texts made from parts. One portable expression serves both engines.
+CALLOUT_TEXT = """concat(
+  case when p_partkey % 5 = 0 then concat(cast(p_partkey % 7 + 1 as string), 'x ')
+       when p_partkey % 5 = 1 then concat(cast(p_partkey % 7 + 2 as string), 'X2-') else '' end,
+  case when p_partkey % 4 = 0 then 'Ø' when p_partkey % 4 = 1 then 'R' else '' end,
+  case when p_partkey % 11 = 0 then '1 1/4' when p_partkey % 3 = 0 then cast(p_partkey % 40 + 1 as string)
+       when p_partkey % 3 = 1 then concat(cast(p_partkey % 40 + 1 as string), ',', cast(p_partkey % 9 + 1 as string), '0')
+       else concat(cast(p_partkey % 40 + 1 as string), '.', cast(p_partkey % 10 as string)) end,
+  case when p_partkey % 6 = 0 then ' THRU' when p_partkey % 6 = 1 then concat(' DEEP ', cast(p_size as string))
+       when p_partkey % 6 = 2 then ' THRU ALL' when p_partkey % 6 = 3 then concat(' ', p_name)
+       when p_partkey % 6 = 4 then ' TYP' else '' end,
+  case when p_partkey % 8 = 0 then ' mm' when p_partkey % 8 = 1 then ' in' when p_partkey % 8 = 2 then '"' else '' end)"""
+SHEET_UNIT = "case when p_partkey % 7 = 0 then 'in' when p_partkey % 7 < 4 then 'mm' end"
+
+
+def callout_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as printed callouts: sheet = brand, text assembled from key residues."""
+    return table(spark, sf, "part").selectExpr(
+        "p_partkey as id", "p_brand as sheet_id", f"{CALLOUT_TEXT} as text", f"{SHEET_UNIT} as sheet_unit")
+
+
+CALLOUT_SQL = f"ct as (select p_partkey id, p_brand sheet_id, {CALLOUT_TEXT} as text, {SHEET_UNIT} as sheet_unit from part)"
