@@ -12,7 +12,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 K = "p_partkey"
-_X, _Y = f"({K} * 7919) % 900", f"({K} * 104729) % 900"
+_X, _Y = f"({K} * 7919) % 400", f"({K} * 104729) % 300"
 GOLD = {
     "page_id": f"{K} div 20", "claim_id": K,
     "x0": f"cast({_X} as double) / 1000", "y0": f"cast({_Y} as double) / 1000",
@@ -81,11 +81,11 @@ vague as (select *, 'close_scores' kind from close union all
 def region_scores(spark, sf):
     claims = gold(spark, sf).join(candidates(spark, sf).select("page_id", "arm").distinct(), "page_id")
     m = matching.match_regions(claims, candidates(spark, sf), ["page_id", "arm"])
-    return m.select("page_id", "arm", "claim_id", "candidate_id", F.round("score", 5).alias("score"))
+    return m.select("page_id", "arm", "claim_id", "candidate_id", "score")
 
 
 QUERIES["region_match_parts"] = region_scores
-ORACLES["region_match_parts"] = f"with {MATCH_SQL} select page_id, arm, claim_id, candidate_id, round(score, 5) score from sc"
+ORACLES["region_match_parts"] = f"with {MATCH_SQL} select page_id, arm, claim_id, candidate_id, score from sc"
 
 
 def vague_claims(spark, sf):
@@ -209,7 +209,7 @@ select *, invented_size + invented_count + invented_depth + invented_form + inve
 
 
 def echoes(spark, sf):
-    c = candidates(spark, sf).withColumn("has_claim", F.col("size").isNotNull())
+    c = candidates(spark, sf).withColumn("has_claim", F.col("size").isNotNull()).drop("ord")
     obs = candidates(spark, sf).where("arm = 'D'").select("page_id", F.col("candidate_id").alias("observation_id"), "ord", *[
         (F.col(b) + (F.col("candidate_id") % 3) * 0.0004).alias(b) for b in matching.BOX])
     return ev.echo(c, obs).select("page_id", "candidate_id", "observation_id", "class")
