@@ -22,8 +22,8 @@ from draftlake.operators.scan import top_k
 from draftlake.session import cut
 
 KEY = ["session_id", "callout_id"]
-MM_LIMIT = 1e5
-AXIS_TOL_PX = 2.0
+MM_LIMIT = 1e6
+AXIS_TOL_PX = 0.5
 PARSE_FIELDS = ["status", "form", "size", "count", "termination", "depth", "unit"]
 COVERAGE_BUCKETS = ["not_model_input", "redundant", "build_applied", "build_relevant_unsupported", "unclassified",
                     "legacy_unclassified", "stale", "compile_blocked", "invalid_duplicate"]
@@ -258,11 +258,11 @@ def coverage_counts(buckets: DataFrame) -> DataFrame:
 # Issue category and the action that settles it, per compile status.
 ISSUE = {
     "missing_transcription": ("missing_transcription", "transcribe"), "missing_parse": ("parse_error", "edit_transcription"),
-    "stale_parse": ("stale_parse", "edit_transcription"), "parse_ambiguous": ("parse_error", "edit_transcription"),
-    "parse_unsupported": ("parse_error", "edit_transcription"), "missing_unit": ("missing_unit", "set_unit"),
+    "stale_parse": ("parse_error", "edit_transcription"), "parse_ambiguous": ("parse_ambiguous", "edit_transcription"),
+    "parse_unsupported": ("parse_error", "edit_transcription"), "missing_unit": ("missing_unit", "edit_transcription"),
     "missing_target": ("missing_target", "confirm_target"), "stale_target": ("stale_target", "confirm_target"),
-    "unsupported_semantic": ("unsupported_semantic", "edit_transcription"), "unsupported_cad_feature": ("unsupported_cad_feature", "edit_transcription"),
-    "conflict": ("geometry_conflict", "resolve_conflict"), "view_not_confirmed": ("view_not_confirmed", "confirm_view"),
+    "unsupported_semantic": ("unsupported_semantic", "review_callout"), "unsupported_cad_feature": ("unsupported_cad_feature", "review_callout"),
+    "conflict": ("callout_conflict", "review_conflict"), "view_not_confirmed": ("missing_view", "confirm_view"),
 }
 
 
@@ -276,8 +276,10 @@ def readiness(rows: DataFrame, buckets: DataFrame, proposals: DataFrame, sheet_i
     r = rows.where("status not in ('compiled', 'excluded')").join(proposals, KEY, "left")
     category = F.when((F.col("status") == "missing_target") & (F.col("n") > 1), "ambiguous_target").otherwise(cat[F.col("status")])
     own = r.select(*KEY, category.alias("category"), act[F.col("status")].alias("action"), "reason")
-    cov = buckets.where("bucket in ('legacy_unclassified', 'build_relevant_unsupported', 'invalid_duplicate')").select(
-        *KEY, F.col("bucket").alias("category"), F.lit("set_disposition").alias("action"), F.col("bucket").alias("reason"))
+    scope = (
+        F.when(F.col("bucket") == "legacy_unclassified", "legacy_unclassified").when(F.col("bucket") == "build_relevant_unsupported", "unsupported_build_relevant")
+        .when((F.col("bucket") == "stale") & F.col("disposition").isNotNull(), "stale_scope_claim").when(F.col("bucket") == "invalid_duplicate", "stale_duplicate_reference"))
+    cov = buckets.withColumn("category", scope).where("category is not null").select(*KEY, "category", F.lit("review_callout").alias("action"), F.col("bucket").alias("reason"))
     return own.unionByName(cov).unionByName(sheet_issues.select(*KEY, "category", "action", "reason"))
 
 
