@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.functions.staging import stage
 from draftlake.functions.text import normalize_text
 
 # Error codes, then informing codes, in reporting order.
@@ -48,15 +47,6 @@ def _value(raw: Column) -> Column:
     return F.when(~raw.rlike(r"^\d+,\d{3}$"), F.translate(raw, ",", ".").try_cast("double"))
 
 
-def _stage(state: Column, step: Callable[[Column], dict[str, Column]]) -> Column:
-    """Next state from the previous one, bound once as a lambda variable.
-
-    A chain of columns would be inlined into every filter pushed below it and grow exponentially; a bound
-    variable keeps the expression linear.
-    """
-    return F.get(F.transform(F.array(state), lambda s: F.struct(*[c.alias(n) for n, c in step(s).items()])), F.lit(0))
-
-
 def _kept(s: Column, *names: str) -> dict[str, Column]:
     return {n: s[n] for n in names}
 
@@ -184,5 +174,5 @@ def extract_callouts(df: DataFrame, text_col: str, sheet_unit_col: str | None =
     sheet = F.lit(None).cast("string") if sheet_unit_col is None else F.col(sheet_unit_col)
     state = F.struct(F.coalesce(normalize_text(F.col(text_col)), F.lit("")).alias("text"), sheet.alias("sheet"))
     for step in (_scan, _place, _collect, _pick_size, _drop_size, _pick_depth, _measure, _decide, _range, _report, _state):
-        state = _stage(state, step)
+        state = stage(state, step)
     return df.withColumn("callout", state)

@@ -205,14 +205,15 @@ def check_readings(claims: DataFrame, cylinders: DataFrame) -> tuple[DataFrame,
     gaps = claims.where("form = 'distance' and both_centres").withColumn("wanted", F.col("printed_mm")).join(pairs_exist, "part_id", "left_semi")
     want = gaps.select("part_id", "wanted").distinct()
     g = F.greatest(F.col("wanted"), F.lit(1.0))
-    n = 64
-    ring = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.cos(i * 2 * 3.141592653589793 / n).alias("c"), F.sin(i * 2 * 3.141592653589793 / n).alias("s")))
-    # Cells an eighth of the wanted distance wide; an axis on the ring is at most one cell from a sample.
-    cellof = lambda v, w: F.floor(v / (w / 8))
-    first = spots.join(want, "part_id").withColumn("_r", F.explode(ring)).withColumn("_u", F.col("x") + F.col("wanted") * F.col("_r.c")).withColumn("_v", F.col("y") + F.col("wanted") * F.col("_r.s"))
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    first = first.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).select(
-        "part_id", "wanted", F.col("x").alias("ax"), F.col("y").alias("ay"), (cellof(F.col("_u"), g) + F.col("_i")).alias("_cx"), (cellof(F.col("_v"), g) + F.col("_j")).alias("_cy")).distinct()
+    # Cells half the wanted distance wide: the ring and its neighbours are at most 25 distinct cells.
+    n = 16
+    cellof = lambda v, w: F.floor(v / (w / 2))
+    turn = lambda i: i * 2 * 3.141592653589793 / n
+    around = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n * 9 - 1)), lambda i: F.array(F.struct(
+        (cellof(F.col("x") + F.col("wanted") * F.cos(turn(F.floor(i / 9))), g) + (i % 3) - 1).alias("cx"),
+        (cellof(F.col("y") + F.col("wanted") * F.sin(turn(F.floor(i / 9))), g) + (F.floor(i / 3) % 3) - 1).alias("cy"))))))
+    first = spots.join(want, "part_id").withColumn("_c", F.explode(around)).select(
+        "part_id", "wanted", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
     second = spots.join(want, "part_id").select("part_id", "wanted", "x", "y", cellof(F.col("x"), g).alias("_cx"), cellof(F.col("y"), g).alias("_cy"))
     gap_ok = first.join(second, ["part_id", "wanted", "_cx", "_cy"]).where(F.abs(hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) - F.col("wanted")) <= limit)
     gap_ok = gap_ok.select("part_id", "wanted").distinct().withColumn("_ok", F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions import geometry as g
+from draftlake.functions.staging import stage
 from draftlake.functions.text import extract_dimensions
 from draftlake.operators.graph import lead_groups
 from draftlake.operators.grid import box_pairs, cell, near_values, neighbours
@@ -105,44 +106,68 @@ def one_per_line(spans: DataFrame, step: float = 8.0) -> DataFrame:
     return kept.drop("_k0", "_k1", "_k2", "_k3").unionByName(spans.where(F.size("anchors") != 2))
 
 
+def _fit_mean(s: Column) -> dict[str, Column]:
+    n = F.size(s["points"]).cast("double")
+    mean = lambda i: F.aggregate(s["points"], F.lit(0.0), lambda t, p: t + p[i]) / n
+    return {"points": s["points"], "closed": s["closed"], "n": n, "mx": mean(0), "my": mean(1)}
+
+
+def _fit_sums(s: Column) -> dict[str, Column]:
+    u, v = (lambda p: p[0] - s["mx"]), (lambda p: p[1] - s["my"])
+    sq = lambda p: u(p) * u(p) + v(p) * v(p)
+    total = lambda f: F.aggregate(s["points"], F.lit(0.0), lambda t, p: t + f(p))
+    return {"points": s["points"], "closed": s["closed"], "n": s["n"], "mx": s["mx"], "my": s["my"],
+            "uu": total(lambda p: u(p) * u(p)), "vv": total(lambda p: v(p) * v(p)), "uv": total(lambda p: u(p) * v(p)),
+            "ut": total(lambda p: u(p) * sq(p)), "vt": total(lambda p: v(p) * sq(p))}
+
+
+def _fit_centre(s: Column) -> dict[str, Column]:
+    det = 2 * (s["uu"] * s["vv"] - s["uv"] * s["uv"])
+    return {"points": s["points"], "closed": s["closed"], "mx": s["mx"], "my": s["my"], "spread": (s["uu"] + s["vv"]) / s["n"],
+            "u": F.try_divide(s["ut"] * s["vv"] - s["vt"] * s["uv"], det), "v": F.try_divide(s["vt"] * s["uu"] - s["ut"] * s["uv"], det)}
+
+
+def _fit_ring(s: Column) -> dict[str, Column]:
+    sq = s["u"] * s["u"] + s["v"] * s["v"] + s["spread"]
+    return {"points": s["points"], "closed": s["closed"], "cx": s["mx"] + s["u"], "cy": s["my"] + s["v"], "r": F.when(sq > 0, F.sqrt(sq))}
+
+
+def _fit_residual(s: Column) -> dict[str, Column]:
+    worst = F.array_max(F.transform(s["points"], lambda p: F.abs(g.hypot(p[0] - s["cx"], p[1] - s["cy"]) - s["r"])))
+    angles = F.transform(s["points"], lambda p: F.atan2(p[1] - s["cy"], p[0] - s["cx"]))
+    return {"points": s["points"], "closed": s["closed"], "cx": s["cx"], "cy": s["cy"], "r": s["r"], "worst": worst, "ang": angles}
+
+
+def _fit_sweep(s: Column) -> dict[str, Column]:
+    wrap = lambda x: x - 2 * PI * F.floor((x + PI) / (2 * PI))
+    tail, head = F.slice(s["ang"], 2, F.greatest(F.size(s["ang"]) - 1, F.lit(0))), F.slice(s["ang"], 1, F.greatest(F.size(s["ang"]) - 1, F.lit(0)))
+    turns = F.aggregate(F.zip_with(tail, head, lambda b, a: wrap(b - a)), F.lit(0.0), lambda t, x: t + x)
+    line = (F.size(s["points"]) == 2) & ~s["closed"]
+    fits = F.coalesce((F.size(s["points"]) >= 8) & (s["r"] >= 3.0) & (s["worst"] <= F.greatest(F.lit(0.6), 0.005 * s["r"])), F.lit(False))
+    return {"points": s["points"], "closed": s["closed"], "cx": s["cx"], "cy": s["cy"], "r": s["r"], "worst": s["worst"],
+            "start": F.degrees(F.get(s["ang"], F.lit(0))), "sweep": F.degrees(turns), "line": line, "fits": fits}
+
+
+def _fit_kind(s: Column) -> dict[str, Column]:
+    kind = F.when(s["line"], "line").when(s["fits"] & (s["closed"] | (F.abs(s["sweep"]) >= 355)), "circle").when(s["fits"] & (F.abs(s["sweep"]) >= 5), "arc")
+    a, z = s["points"][0], F.element_at(s["points"], -1)
+    at = lambda c: F.when(s["line"], F.bround(c, 2))
+    ring = lambda c: F.when(~s["line"], F.bround(c, 2))
+    return {"kind": kind, "x0": at(a[0]), "y0": at(a[1]), "x1": at(z[0]), "y1": at(z[1]), "cx": ring(s["cx"]), "cy": ring(s["cy"]), "r": ring(s["r"]),
+            "start_degrees": ring(s["start"]), "end_degrees": ring(s["start"] + s["sweep"]), "max_residual_px": ring(s["worst"])}
+
+
 def fit_primitives(paths: DataFrame) -> DataFrame:
     """Each path as a line, circle or arc, or dropped as a polyline. Works inside the row: no shuffle.
 
-    ``paths`` (sheet_id, id, ord, closed, points ARRAY<ARRAY<DOUBLE>>).
+    ``paths`` (sheet_id, id, ord, closed, points ARRAY<ARRAY<DOUBLE>>). Circles are least-squares fits about the
+    mean point; the worst residual must stay within max(0.6 px, 0.5 % of the radius).
     """
-    n = F.size("points").cast("double")
-    total = lambda f: F.aggregate("points", F.lit(0.0), lambda s, p: s + f(p))
-    d = paths.withColumn("_mx", total(lambda p: p[0]) / n).withColumn("_my", total(lambda p: p[1]) / n)
-    u, v = (lambda p: p[0] - F.col("_mx")), (lambda p: p[1] - F.col("_my"))
-    sums = {
-        "uu": lambda p: u(p) * u(p), "vv": lambda p: v(p) * v(p), "uv": lambda p: u(p) * v(p),
-        "ut": lambda p: u(p) * (u(p) * u(p) + v(p) * v(p)), "vt": lambda p: v(p) * (u(p) * u(p) + v(p) * v(p))}
-    d = d.withColumn("_s", F.struct(*[total(f).alias(k) for k, f in sums.items()]))
-    s = lambda k: F.col(f"_s.{k}")
-    det = s("uu") * s("vv") - s("uv") * s("uv")
-    uc = F.try_divide(s("ut") * s("vv") - s("vt") * s("uv"), 2 * det)
-    vc = F.try_divide(s("vt") * s("uu") - s("ut") * s("uv"), 2 * det)
-    d = d.withColumn("_uc", uc).withColumn("_vc", vc)
-    r2_ = F.col("_uc") * F.col("_uc") + F.col("_vc") * F.col("_vc") + (s("uu") + s("vv")) / n
-    d = d.withColumn("_cx", F.col("_mx") + F.col("_uc")).withColumn("_cy", F.col("_my") + F.col("_vc")).withColumn("_r", F.when(r2_ > 0, F.sqrt(r2_)))
-    worst = F.array_max(F.transform("points", lambda p: F.abs(g.hypot(p[0] - F.col("_cx"), p[1] - F.col("_cy")) - F.col("_r"))))
-    angles = F.transform("points", lambda p: F.atan2(p[1] - F.col("_cy"), p[0] - F.col("_cx")))
-    d = d.withColumn("_worst", worst).withColumn("_ang", angles)
-    wrap = lambda x: x - 2 * PI * F.floor((x + PI) / (2 * PI))
-    turns = F.aggregate(F.zip_with(F.slice("_ang", 2, F.greatest(F.size("_ang") - 1, F.lit(0))), F.slice("_ang", 1, F.greatest(F.size("_ang") - 1, F.lit(0))), lambda b, a: wrap(b - a)), F.lit(0.0), lambda a, x: a + x)
-    d = d.withColumn("_start", F.degrees(F.get("_ang", F.lit(0)))).withColumn("_sweep", F.degrees(turns))
-    fits = (F.size("points") >= 8) & (F.col("_r") >= 3.0) & (F.col("_worst") <= F.greatest(F.lit(0.6), 0.005 * F.col("_r")))
-    line = (F.size("points") == 2) & ~F.col("closed")
-    kind = (
-        F.when(line, "line").when(~F.coalesce(fits, F.lit(False)), None).when(F.col("closed") | (F.abs("_sweep") >= 355), "circle")
-        .when(F.abs("_sweep") >= 5, "arc"))
-    p0, p1 = F.col("points")[0], F.element_at("points", -1)
-    at = lambda c: F.when(F.col("kind") == "line", F.bround(c, 2))
-    ring = lambda c: F.when(F.col("kind") != "line", F.bround(c, 2))
-    return d.withColumn("kind", kind).where("kind is not null").select(
-        "sheet_id", F.col("id").alias("path_id"), "ord", "kind", at(p0[0]).alias("x0"), at(p0[1]).alias("y0"), at(p1[0]).alias("x1"), at(p1[1]).alias("y1"),
-        ring(F.col("_cx")).alias("cx"), ring(F.col("_cy")).alias("cy"), ring(F.col("_r")).alias("r"), ring(F.col("_start")).alias("start_degrees"),
-        ring(F.col("_start") + F.col("_sweep")).alias("end_degrees"), ring(F.col("_worst")).alias("max_residual_px"))
+    state = F.struct("points", "closed")
+    for step in (_fit_mean, _fit_sums, _fit_centre, _fit_ring, _fit_residual, _fit_sweep, _fit_kind):
+        state = stage(state, step)
+    return paths.select("sheet_id", F.col("id").alias("path_id"), "ord", state.alias("fit")).where("fit.kind is not null").select(
+        "sheet_id", "path_id", "ord", "fit.*")
 
 
 def sheet_frame(paths: DataFrame, frames: DataFrame, share: float = 0.8) -> DataFrame:
@@ -443,7 +468,7 @@ def evidence_table(primitives: DataFrame, texts: DataFrame, frames: DataFrame) -
                           F.coalesce(F.greatest("x0", "x1"), F.col("cx") + F.col("r")).alias("bx1"), F.coalesce(F.greatest("y0", "y1"), F.col("cy") + F.col("r")).alias("by1"), F.lit(False).alias("is_text"))
     t = texts.select("sheet_id", "id", "kind", "text", "value", F.col("x").alias("bx0"), F.col("y").alias("by0"), (F.col("x") + F.col("w")).alias("bx1"), (F.col("y") + F.col("h")).alias("by1"), F.lit(True).alias("is_text"))
     j = p.unionByName(t).join(frames.select("sheet_id", "width", "height"), "sheet_id", "left")
-    clip = lambda v, side: F.bround(F.least(F.greatest(F.try_divide(v, side), F.lit(0.0)), F.lit(1.0)), 4)
+    clip = lambda v, side: F.when(v.isNotNull(), F.bround(F.least(F.greatest(F.try_divide(v, side), F.lit(0.0)), F.lit(1.0)), 4))
     j = j.withColumns({"x0": clip(F.col("bx0"), F.col("width")), "y0": clip(F.col("by0"), F.col("height")), "x1": clip(F.col("bx1"), F.col("width")), "y1": clip(F.col("by1"), F.col("height"))})
     why = F.when(F.col("x0").isNull() | F.col("x1").isNull(), "no_region").when(F.col("is_text") & (F.trim(F.coalesce("text", F.lit(""))) == "") & F.col("value").isNull(), "no_text_or_value")
     j = j.withColumn("dropped", why)
