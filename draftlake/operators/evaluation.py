@@ -239,3 +239,27 @@ def label_candidates(candidates: DataFrame, truth: DataFrame, keys: Sequence[str
         cx.between(b[0], b[2]) & cy.between(b[1], b[3]) & (box_intersection(a, b) >= 0.5 * box_area(a)))
     hit = hit.select(*keys, "candidate_id").distinct().withColumn("_h", F.lit(True))
     return candidates.join(hit, [*keys, "candidate_id"], "left").withColumn("hit", F.col("_h").isNotNull()).drop("_h")
+
+
+def validate_gold(pages: DataFrame, claims: DataFrame) -> DataFrame:
+    """Problem rows of gold pages: missing scope, no claims, unconfirmed raster pages, duplicate ids, missing
+    targets, empty evidence, raster claims without visual evidence.
+
+    ``pages`` (page_id, page_type, scope, exhaustiveness_scope, vision_checked); ``claims`` (page_id, claim_id,
+    target_observation, target_box ARRAY<DOUBLE>, evidence, source_evidence).
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    counts = claims.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    p = pages.join(counts, "page_id", "left")
+    raster = F.col("page_type") == "raster"
+    page_codes = F.array_compact(F.array(
+        F.when(blank("scope"), "missing_scope"), F.when(blank("exhaustiveness_scope"), "missing_exhaustiveness"),
+        F.when(raster & ~F.coalesce("vision_checked", F.lit(False)), "raster_not_confirmed"), F.when(F.col("n").isNull(), "no_claims")))
+    none = F.lit(None).cast(claims.schema["claim_id"].dataType)
+    rows = p.select("page_id", none.alias("claim_id"), F.explode(page_codes).alias("code"))
+    twice = claims.groupBy("page_id", "claim_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id", "claim_id", F.lit("duplicate_id").alias("code"))
+    c = claims.join(pages.select("page_id", "page_type"), "page_id")
+    claim_codes = F.array_compact(F.array(
+        F.when(F.col("target_observation").isNull() & F.col("target_box").isNull(), "no_target"), F.when(blank("evidence"), "empty_evidence"),
+        F.when(blank("source_evidence"), "empty_source_evidence"), F.when(raster & ~F.lower(F.coalesce("source_evidence", F.lit(""))).contains("vision"), "raster_without_vision")))
+    return rows.unionByName(twice).unionByName(c.select("page_id", "claim_id", F.explode(claim_codes).alias("code")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from draftlake.plans import evaluation_queries, geometry_queries, ledger_queries, scale_queries, session_queries, stream_queries, text_queries
+from draftlake.plans import (
+    evaluation_queries, geometry_queries, ledger_queries, meaning_queries, scale_queries, session_queries, stream_queries, text_queries,
+)
 
-MODULES = [scale_queries, text_queries, evaluation_queries, geometry_queries, ledger_queries, session_queries, stream_queries]
+MODULES = [
+    scale_queries, text_queries, evaluation_queries, geometry_queries, ledger_queries, session_queries, stream_queries, meaning_queries,
+]
 
 
 def queries() -> dict:
