@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD_BELOW = 256 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BELOW
+    # A small single-file table is one row group and would keep every expansion on one core.
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
