@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, packing, shards
+from draftlake.llm import bpe, neardup, packing, shards
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,9 +20,13 @@ def op6_jump_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.place_documents(_table(spark, sf, "documents"), 16)
 
 
+def op7_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.link_documents(_table(spark, sf, "documents"), 85)
+
+
 def op9_shortest_pack_first(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_jump_shards, op9_shortest_pack_first)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first)}
 ORACLES: dict[str, str] = {}
