@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, neardup, packing, shards
+from draftlake.llm import bpe, chains, neardup, packing, shards
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_collinear_chains(spark: SparkSession, sf: str) -> DataFrame:
+    return chains.repeated_passages(_table(spark, sf, "documents"))
+
+
 def op6_jump_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.place_documents(_table(spark, sf, "documents"), 16)
 
@@ -28,5 +32,5 @@ def op9_shortest_pack_first(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_collinear_chains, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first)}
 ORACLES: dict[str, str] = {}
