@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, chains, neardup, packing, shards
+from draftlake.llm import bpe, chains, factorisation, neardup, packing, permutation, shards
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op2_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    return permutation.neighbours(_table(spark, sf, "embeddings"))
+
+
 def op4_collinear_chains(spark: SparkSession, sf: str) -> DataFrame:
     return chains.repeated_passages(_table(spark, sf, "documents"))
 
@@ -32,5 +36,9 @@ def op9_shortest_pack_first(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_collinear_chains, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first)}
+def op10_factorisation_machine(spark: SparkSession, sf: str) -> DataFrame:
+    return factorisation.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op4_collinear_chains, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first, op10_factorisation_machine)}
 ORACLES: dict[str, str] = {}
