@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, chains, factorisation, neardup, packing, permutation, shards
+from draftlake.llm import bpe, chains, credentials, factorisation, neardup, packing, permutation, shards, supervision
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,10 +20,18 @@ def op2_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
     return permutation.neighbours(_table(spark, sf, "embeddings"))
 
 
+def op3_linked_credentials(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.scan_documents(_table(spark, sf, "documents"))
+
+
 def op4_collinear_chains(spark: SparkSession, sf: str) -> DataFrame:
     return chains.repeated_passages(_table(spark, sf, "documents"))
 
 
+def op5_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
+    return supervision.judge_documents(_table(spark, sf, "documents"))
+
+
 def op6_jump_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.place_documents(_table(spark, sf, "documents"), 16)
 
@@ -40,5 +48,5 @@ def op10_factorisation_machine(spark: SparkSession, sf: str) -> DataFrame:
     return factorisation.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op4_collinear_chains, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first, op10_factorisation_machine)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first, op10_factorisation_machine)}
 ORACLES: dict[str, str] = {}
