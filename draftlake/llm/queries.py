@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, chains, credentials, factorisation, neardup, packing, permutation, shards, supervision
+from draftlake.llm import bpe, chains, credentials, factorisation, licences, neardup, packing, permutation, shards, supervision
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.link_documents(_table(spark, sf, "documents"), 85)
 
 
+def op8_sentence_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan_documents(_table(spark, sf, "documents"))
+
+
 def op9_shortest_pack_first(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,5 +52,5 @@ def op10_factorisation_machine(spark: SparkSession, sf: str) -> DataFrame:
     return factorisation.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op9_shortest_pack_first, op10_factorisation_machine)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op8_sentence_rules, op9_shortest_pack_first, op10_factorisation_machine)}
+ORACLES: dict[str, str] = {"op8_sentence_rules": licences.oracle()}
