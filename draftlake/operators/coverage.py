@@ -104,16 +104,21 @@ def reading_report(records: DataFrame, printed: DataFrame, callouts: DataFrame,
 def pair_labels(labels: DataFrame, readings: DataFrame, keys: Sequence[str] = ("sheet_id",)) -> DataFrame:
     """label id -> reading id where value, unit and kind single one out, else value and unit; unique or absent.
 
-    Values meet within 1e-6; equal micro-buckets on both sides, counted before any pair is formed.
+    Values meet when they differ by less than 1e-6: a label visits its own micro-bucket and both neighbours, and readings
+    are counted after the exact comparison. Equal readings are one row with a count, equal labels ask once.
     """
     keys = list(keys)
-    lab = labels.select(*keys, F.col("id").alias("label_id"), "value", "unit", "kind")
-    micro = F.round(F.col("value") * 1e6, 0).cast("long")
-    groups = readings.withColumn("_m", micro).groupBy(*keys, "unit", "_m", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("reading_id"))
-    typed = groups.where("n = 1 and kind is not null").select(*keys, "unit", "_m", "kind", F.col("reading_id").alias("typed_id"))
-    any_kind = groups.groupBy(*keys, "unit", "_m").agg(F.sum("n").alias("n"), F.min("reading_id").alias("any_id")).where("n = 1").drop("n")
-    out = lab.withColumn("_m", micro).join(typed, [*keys, "unit", "_m", "kind"], "left").join(any_kind, [*keys, "unit", "_m"], "left")
-    return out.select(*keys, "label_id", F.coalesce("typed_id", "any_id").alias("reading_id")).where("reading_id is not null")
+    micro, unit = F.floor(F.col("value") * 1e6), F.coalesce(F.col("unit").cast("string"), F.lit("\0")).alias("_unit")
+    lab = labels.select(*keys, F.col("id").alias("label_id"), "value", unit, F.coalesce(F.col("kind").cast("string"), F.lit("")).alias("_kind"))
+    asked = lab.drop("label_id").distinct().withColumn("_m", F.explode(F.array(*(micro + i for i in (-1, 0, 1)))))
+    groups = readings.where("value is not null").groupBy(*keys, unit, F.col("value").alias("_value"), F.col("kind").alias("_other")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("rid")).withColumn("_m", F.floor(F.col("_value") * 1e6))
+    same = (F.col("_kind") != "") & (F.col("_other") == F.col("_kind"))
+    met = asked.join(groups, [*keys, "_unit", "_m"]).where(F.abs(F.col("value") - F.col("_value")) < 1e-6)
+    found = met.groupBy(*keys, "_unit", "value", "_kind").agg(
+        F.sum(F.when(same, F.col("n"))).alias("typed"), F.min(F.when(same, F.col("rid"))).alias("typed_id"), F.sum("n").alias("n"), F.min("rid").alias("any_id"))
+    out = lab.join(found, [*keys, "_unit", "value", "_kind"])
+    return out.select(*keys, "label_id", F.when(F.col("typed") == 1, F.col("typed_id")).when(F.col("n") == 1, F.col("any_id")).alias("reading_id")).where("reading_id is not null")
 
 
 def nearest_id(points: DataFrame, measured: DataFrame, radius: float, keys: Sequence[str] = ("sheet_id",)) -> DataFrame:
@@ -296,13 +301,21 @@ def inject_defects(proposals: DataFrame) -> DataFrame:
     return out.withColumn("defect_matched", F.when(F.col("injected") & many, new_m)).withColumn("defect_between", F.when(F.col("injected") & two, new_b))
 
 
+# Absolute and relative tolerance of a bound diameter and of a printed value.
+BOUND_TOLERANCE, PRINTED_TOLERANCE = (0.05, 0.01), (0.005, 0.002)
+
+
 def evidence_level(decisions: DataFrame, claims: DataFrame, printed: DataFrame, keys: Sequence[str] = ("sheet_id",)) -> DataFrame:
     """bound (a claim ties the value to the decided geometry), present (the value is printed) or absent."""
     keys = list(keys)
-    vals = decisions.select(*keys, "value").distinct()
-    seen = match_numbers(vals, printed.select(*keys, "printed"), keys).select(*keys, "value").distinct().withColumn("_p", F.lit(True))
-    tied = match_numbers(decisions.select(*keys, "geometry_id", "value").distinct(), claims.select(*keys, "geometry_id", F.col("printed_mm").alias("printed")), [*keys, "geometry_id"])
-    tied = tied.select(*keys, "geometry_id", "value").distinct().withColumn("_b", F.lit(True))
+    near = lambda x, tol: F.abs(x - F.col("value")) <= F.greatest(F.lit(tol[0]), tol[1] * F.col("value"))
+    # On this scale a step is at least the printed tolerance at any size, so neighbours two steps away hold all that is near.
+    step = lambda c: F.floor(F.ln(F.abs(c) + PRINTED_TOLERANCE[0] / PRINTED_TOLERANCE[1]) / PRINTED_TOLERANCE[1])
+    vals = decisions.select(*keys, "value").distinct().withColumn("_s", F.explode(F.array(*(step(F.col("value")) + i for i in range(-2, 3)))))
+    marks = printed.select(*keys, "printed").distinct().withColumn("_s", step(F.col("printed")))
+    seen = vals.join(marks, [*keys, "_s"]).where(near(F.col("printed"), PRINTED_TOLERANCE)).select(*keys, "value").distinct().withColumn("_p", F.lit(True))
+    tied = decisions.select(*keys, "geometry_id", "value").distinct().join(claims.select(*keys, "geometry_id", "printed_mm").distinct(), [*keys, "geometry_id"])
+    tied = tied.where(near(F.col("printed_mm"), BOUND_TOLERANCE)).select(*keys, "geometry_id", "value").distinct().withColumn("_b", F.lit(True))
     out = decisions.join(seen, [*keys, "value"], "left").join(tied, [*keys, "geometry_id", "value"], "left")
     return out.withColumn("level", F.when(F.col("_b"), "bound").when(F.col("_p"), "present").otherwise("absent")).drop("_p", "_b")
 

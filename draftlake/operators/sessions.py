@@ -299,7 +299,7 @@ def export_bundle(fresh: DataFrame, parses: DataFrame, targets: DataFrame, propo
 IMPORT_ACTIONS = ["transcribe", "ignore", "restore", "confirm_target", "select_target", "set_disposition"]
 DISPOSITIONS = ["not_model_input", "redundant", "build_relevant_unsupported"]
 TARGET_KINDS = ["circle", "circle_group", "arc", "profile", "vertex_pair"]
-ACTION_LIMIT, TEXT_LIMIT, TARGET_LIMIT = 200, 4000, 100
+ACTION_LIMIT, TEXT_LIMIT, TARGET_LIMIT = 200, 200, 100  # fixed values of the bundle contract
 
 
 def validate_bundle(bundles: DataFrame, actions: DataFrame, callouts: DataFrame, sessions: DataFrame, geometry: DataFrame, decisions: DataFrame,

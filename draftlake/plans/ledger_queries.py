@@ -147,8 +147,8 @@ def evidence_levels(spark, sf):
 
 QUERIES["evidence_levels_lineitem"] = evidence_levels
 ORACLES["evidence_levels_lineitem"] = f"""with p as (select p_partkey % 100 s, p_partkey g, p_size::double v, p_size + case when p_partkey % 7 = 0 then 0.5::double else 0 end pv from part)
-select l_suppkey sheet_id, case when exists(select 1 from p where s = l_suppkey and g = l_partkey and abs(l_quantity - v) <= greatest(1e-6, 0.001::double * abs(v))) then 'bound'
-  when exists(select 1 from p where s = l_suppkey and abs(l_quantity - pv) <= greatest(1e-6, 0.001::double * abs(pv))) then 'present' else 'absent' end as level, count(*) decisions from lineitem group by 1, 2"""
+select l_suppkey sheet_id, case when exists(select 1 from p where s = l_suppkey and g = l_partkey and abs(l_quantity - v) <= greatest(0.05::double, 0.01::double * l_quantity)) then 'bound'
+  when exists(select 1 from p where s = l_suppkey and abs(l_quantity - pv) <= greatest(0.005::double, 0.002::double * l_quantity)) then 'present' else 'absent' end as level, count(*) decisions from lineitem group by 1, 2"""
 
 
 def qa(spark, sf):
