@@ -4,25 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions.identity import identity
 from draftlake.functions.regions import bbox_issue
-from draftlake.operators.scan import top_k
 
 # Reading method -> kind of source.
 SOURCE_KINDS = {"pdf-text": "vector_text", "tesseract-tsv": "raster_region"}
-PROVENANCE_IDS = 200
+REGION_KEYS = ["sheet_id", "source_digest", "x0", "y0", "x1", "y1", "source_kind"]
 MARGIN = 0.04
 
 
-def callout_candidates(texts: DataFrame, frames: DataFrame, detector_version: str) -> tuple[DataFrame, DataFrame]:
-    """Observed texts grouped by identical normalised region: (candidates, diagnostics).
-
-    ``texts`` (sheet_id, id, text, method, x, y, w, h); ``frames`` (sheet_id, source_digest, width, height). Id
-    lists are a stored provenance field of at most 200 ids (the smallest ones); ``n_ids`` always holds the count.
-    """
+def _placed(texts: DataFrame, frames: DataFrame) -> DataFrame:
+    """Observed texts with their normalised region, the kind of their source, and what is wrong with the region, if anything."""
     t = texts.join(frames, "sheet_id")
     kinds = F.create_map(*[F.lit(v) for pair in SOURCE_KINDS.items() for v in pair])
     t = t.withColumn("_kind", kinds[F.col("method")]).withColumn("source_kind", F.coalesce("_kind", F.lit("observation")))
@@ -31,29 +26,40 @@ def callout_candidates(texts: DataFrame, frames: DataFrame, detector_version: st
               (F.col("x") + F.col("w")) / F.col("width"), (F.col("y") + F.col("h")) / F.col("height")]
     t = t.withColumns({n: F.when(F.col("issue").isNull(), F.bround(c, 8)) for n, c in zip(("x0", "y0", "x1", "y1"), scaled)})
     whole = (F.col("x0") >= 0) & (F.col("x0") < F.col("x1")) & (F.col("x1") <= 1) & (F.col("y0") >= 0) & (F.col("y0") < F.col("y1")) & (F.col("y1") <= 1)
-    t = t.withColumn("issue", F.coalesce("issue", F.when(~whole, "region_collapsed")))
-    sound = t.where(F.col("issue").isNull())
-    keys = ["sheet_id", "source_digest", "x0", "y0", "x1", "y1", "source_kind"]
-    # Distinct (region, id) and (region, text) pairs first; only the smallest 200 ids of a region are ever kept.
-    ids = sound.select(*keys, "id", "text").distinct()
-    kept = top_k(ids.select(*keys, "id").distinct(), keys, [F.col("id")], PROVENANCE_IDS).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("id")).alias("observation_ids"))
-    stats = ids.groupBy(*keys).agg(
-        F.count_distinct("id").alias("n_ids"), F.min("text").alias("_lo"), F.max("text").alias("_hi"), F.min("id").alias("_first"))
-    groups = stats.join(kept, keys).withColumn("machine_text_hint", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
-    candidates = groups.withColumn("detector_version", F.lit(detector_version)).withColumn(
+    return t.withColumn("issue", F.coalesce("issue", F.when(~whole, "region_collapsed")))
+
+
+def _candidate_id(df: DataFrame, detector_version: str) -> DataFrame:
+    return df.withColumn("detector_version", F.lit(detector_version)).withColumn(
         "candidate_id", identity("source_digest", "x0", "y0", "x1", "y1", "source_kind", "detector_version"))
+
+
+def callout_candidates(texts: DataFrame, frames: DataFrame, detector_version: str) -> tuple[DataFrame, DataFrame]:
+    """Observed texts grouped by identical normalised region: (candidates, diagnostics).
+
+    ``texts`` (sheet_id, id, text, method, x, y, w, h); ``frames`` (sheet_id, source_digest, width, height). A candidate
+    holds the count of its distinct ids and the smallest one; ``candidate_observations`` has them all, as rows.
+    """
+    t = _placed(texts, frames)
+    groups = t.where(F.col("issue").isNull()).groupBy(*REGION_KEYS).agg(
+        F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id"), F.min("text").alias("_lo"), F.max("text").alias("_hi"))
+    candidates = _candidate_id(groups.withColumn("machine_text_hint", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))), detector_version)
     diag = lambda df, code, who: df.select("sheet_id", code.alias("code"), who.alias("observation_id"))
     diagnostics = (
         diag(t.where(F.col("_kind").isNull()), F.lit("unknown_text_method"), F.col("id"))
         .unionByName(diag(t.where(F.col("issue").isNotNull()), F.col("issue"), F.col("id")))
-        .unionByName(diag(groups.where(F.col("n_ids") > PROVENANCE_IDS), F.lit("provenance_ids_capped"), F.col("_first")))
-        .unionByName(diag(groups.where(F.col("_lo") != F.col("_hi")), F.lit("duplicate_hint_conflict"), F.col("_first")))
+        .unionByName(diag(groups.where(F.col("_lo") != F.col("_hi")), F.lit("duplicate_hint_conflict"), F.col("first_id")))
         .unionByName(diag(frames.join(texts.select("sheet_id").distinct(), "sheet_id", "left_anti"),
                           F.lit("no_text_observations"), F.lit(None).cast(texts.schema["id"].dataType)))
         .distinct()
     )
-    return candidates.drop("_lo", "_hi", "_first"), diagnostics
+    return candidates.drop("_lo", "_hi"), diagnostics
+
+
+def candidate_observations(texts: DataFrame, frames: DataFrame, detector_version: str) -> DataFrame:
+    """Provenance of the candidates: (candidate_id, region, id), one row for every distinct observation, however many a region has."""
+    sound = _placed(texts, frames).where(F.col("issue").isNull()).select(*REGION_KEYS, "id").distinct()
+    return _candidate_id(sound, detector_version)
 
 
 def inside_area(texts: DataFrame, frames: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -129,8 +135,14 @@ def build_catalog(printed: DataFrame, names: DataFrame, claims: DataFrame) -> tu
     own = entry(F.col("name"), F.col("value"), F.col("unit"), "size", F.col("kind"))
     extra = entry(F.concat("name", F.lit("_count")), F.col("count").cast("double"), F.lit("count"), "count", F.lit("count"))
     rows = good.select(*key, "form", "resolution", F.inline(F.array_compact(F.array(own, F.when(explicit, extra)))))
-    # A generated name that meets a given one takes the next free suffix.
-    taken = names.select("sheet_id", "name").withColumn("_taken", F.lit(True))
-    rows = rows.join(taken, ["sheet_id", "name"], "left")
+    # A generated name that meets a given one counts on from _2 to the first free name. Given names are unique and generated
+    # ones end in their own base and number, so only given names can be in the way.
+    taken = names.select("sheet_id", "name").distinct()
+    base = taken.select("sheet_id", F.regexp_extract("name", r"^(.*_count)_([1-9]\d{0,17})$", 1).alias("name"), F.regexp_extract("name", r"^(.*_count)_([1-9]\d{0,17})$", 2).alias("_k"))
+    nth = F.row_number().over(Window.partitionBy("sheet_id", "name").orderBy("_k"))
+    run = base.where("name <> ''").withColumn("_k", F.col("_k").cast("long")).where("_k >= 2").withColumn("_nth", nth)
+    free = run.groupBy("sheet_id", "name").agg(F.count_if(F.col("_k") == F.col("_nth") + 1).alias("_run"))
+    rows = rows.join(taken.withColumn("_taken", F.lit(True)), ["sheet_id", "name"], "left").join(free, ["sheet_id", "name"], "left")
     clash = (F.col("quantity") == "count") & F.col("_taken").isNotNull()
-    return rows.withColumn("name", F.when(clash, F.concat("name", F.lit("_2"))).otherwise(F.col("name"))).drop("_taken"), errors
+    counted = F.concat_ws("_", "name", (F.coalesce("_run", F.lit(0)) + 2).cast("string"))
+    return rows.withColumn("name", F.when(clash, counted).otherwise(F.col("name"))).drop("_taken", "_run"), errors
