@@ -420,14 +420,17 @@ select o_orderkey, round({_sd('cx', 'cy', 'ax', 'ay', 'bx', 'yb')}, 4) seg_dist,
   abs(ax - bx) <= greatest(0.02::double * abs(bx), 5.0) as close from q"""
 
 
-# Three parts a sheet; the count of the first meets the names of the other two, and some sheets give a name twice.
-_CATALOG_NAME = "case when id % 3 = 0 or id % 15 = 2 then 'n' when id % 3 = 1 then 'n_count' when id % 2 = 0 then 'n_count_2' else 'n_count_3' end"
+# Three parts a sheet, 60 keys apart, so that their texts are of one form; the count of the first meets the names of the other
+# two, and some sheets give a name twice.
+_CATALOG_SHEET = "concat(cast(id % 60 as string), '-', cast(cast(floor(id / 180) as bigint) as string))"
+_CATALOG_NTH = "cast(floor(id / 60) as bigint) % 3"
+_CATALOG_NAME = f"case when {_CATALOG_NTH} = 0 or id % 11 = 2 then 'n' when {_CATALOG_NTH} = 1 then 'n_count' when id % 2 = 0 then 'n_count_2' else 'n_count_3' end"
 
 
 def catalog(spark, sf):
     d = text.extract_dimensions(callout_texts(spark, sf), "text")
-    printed = d.selectExpr("cast(id div 3 as string) as sheet_id", "cast(id as string) as span_id", "dim_value as value", "dim_unit as unit", "text", "dim_kind as kind", "cast(dim_count as int) as count")
-    names = callout_texts(spark, sf).selectExpr("cast(id div 3 as string) as sheet_id", "cast(id as string) as span_id", f"{_CATALOG_NAME} as name")
+    printed = d.selectExpr(f"{_CATALOG_SHEET} as sheet_id", "cast(id as string) as span_id", "dim_value as value", "dim_unit as unit", "text", "dim_kind as kind", "cast(dim_count as int) as count")
+    names = callout_texts(spark, sf).selectExpr(f"{_CATALOG_SHEET} as sheet_id", "cast(id as string) as span_id", f"{_CATALOG_NAME} as name")
     claims = printed.selectExpr("sheet_id", "span_id", "'distance' as form", "'confirmed' as resolution")
     rows, errors = texts.build_catalog(printed, names, claims)
     found = rows.select("sheet_id", "span_id", "name", "quantity", F.lit(None).cast("string").alias("code"))
@@ -437,7 +440,7 @@ def catalog(spark, sf):
 
 QUERIES["quantity_catalog_parts"] = catalog
 ORACLES["quantity_catalog_parts"] = rf"""with {DIM_SQL},
-pp as (select (id // 3)::varchar sheet_id, id::varchar span_id, val, text, cnt, {_CATALOG_NAME} as name from v),
+pp as (select {_CATALOG_SHEET} sheet_id, id::varchar span_id, val, text, cnt, {_CATALOG_NAME} as name from v),
 e as (select sheet_id, span_id, 'not_numeric' code from pp where val is null union all
   select sheet_id, min(span_id), 'duplicate_name' from pp group by sheet_id, name having count(*) > 1),
 g as (select * from pp where sheet_id not in (select sheet_id from e)),
