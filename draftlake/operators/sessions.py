@@ -299,17 +299,17 @@ def export_bundle(fresh: DataFrame, parses: DataFrame, targets: DataFrame, propo
 IMPORT_ACTIONS = ["transcribe", "ignore", "restore", "confirm_target", "select_target", "set_disposition"]
 DISPOSITIONS = ["not_model_input", "redundant", "build_relevant_unsupported"]
 TARGET_KINDS = ["circle", "circle_group", "arc", "profile", "vertex_pair"]
-ACTION_LIMIT, TEXT_LIMIT, TARGET_LIMIT = 200, 200, 100  # fixed values of the bundle contract
 
 
 def validate_bundle(bundles: DataFrame, actions: DataFrame, callouts: DataFrame, sessions: DataFrame, geometry: DataFrame, decisions: DataFrame,
-                    fresh: DataFrame, parser_version: str, bundle_version: str, schema_version: int) -> tuple[DataFrame, DataFrame]:
+                    fresh: DataFrame, parser_version: str, bundle_version: str, schema_version: int, max_actions: int, max_text: int, max_targets: int) -> tuple[DataFrame, DataFrame]:
     """(valid actions, errors): one bad action refuses its whole bundle.
 
     ``bundles`` (bundle_id, session_id, bundle_version, schema_version, source_digest, base_revision, parser_version,
     geometry_version, geometry_key); ``actions`` (bundle_id, session_id, index, action, callout_id, raw_text, region,
     disposition, duplicate_of, disposition_reason, target_kind, target_ids); ``sessions`` also revision and
-    source_digest; ``geometry`` (session_id, kind circle/arc/profile/end, geometry_id).
+    source_digest; ``geometry`` (session_id, kind circle/arc/profile/end, geometry_id). The three maxima are part of
+    the bundle's contract and have no default: whoever accepts bundles states them, and what exceeds them is refused.
     """
     b = bundles.alias("b").join(sessions.alias("s"), "session_id", "left")
     n = actions.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_actions"))
@@ -323,7 +323,7 @@ def validate_bundle(bundles: DataFrame, actions: DataFrame, callouts: DataFrame,
         F.when(bc("base_revision").isNull(), "base_revision_invalid").when(bc("base_revision") != F.coalesce(sc("revision"), F.lit(0)), "stale_base_revision"),
         F.when(~bc("parser_version").eqNullSafe(F.lit(parser_version)), "parser_version_mismatch"),
         F.when(~bc("geometry_version").eqNullSafe(sc("geometry_version")), "geometry_version_mismatch").when(~bc("geometry_key").eqNullSafe(sc("geometry_key")), "geometry_mismatch"),
-        F.when(F.col("n_actions").isNull(), "no_actions").when(F.col("n_actions") > ACTION_LIMIT, "too_many_actions")))
+        F.when(F.col("n_actions").isNull(), "no_actions").when(F.col("n_actions") > max_actions, "too_many_actions")))
     bundle_errors = b.select("bundle_id", F.explode(head).alias("code")).select("bundle_id", F.lit(None).cast("int").alias("index"), "code")
     known = callouts.select("session_id", "callout_id").withColumn("_known", F.lit(True))
     dup = callouts.select("session_id", F.col("callout_id").cast("string").alias("duplicate_of")).withColumn("_dup", F.lit(True))
@@ -342,7 +342,7 @@ def validate_bundle(bundles: DataFrame, actions: DataFrame, callouts: DataFrame,
     target, disp, red = on("confirm_target", "select_target"), on("set_disposition"), on("set_disposition") & (F.col("disposition") == "redundant")
     code = _first(
         (~F.coalesce(on(*IMPORT_ACTIONS), F.lit(False)), "unknown_action"), (F.col("_known").isNull(), "unknown_callout"),
-        (on("transcribe") & (text == ""), "empty_text"), (on("transcribe") & (F.length("raw_text") > TEXT_LIMIT), "text_too_long"),
+        (on("transcribe") & (text == ""), "empty_text"), (on("transcribe") & (F.length("raw_text") > max_text), "text_too_long"),
         (on("transcribe") & F.col("region").isNotNull() & ~F.coalesce(ordered(F.col("region")), F.lit(False)), "invalid_region"),
         (disp & ~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False)), "unknown_disposition"),
         (red & (F.trim(F.coalesce("duplicate_of", F.lit(""))) == ""), "missing_duplicate_reference"),
@@ -351,7 +351,7 @@ def validate_bundle(bundles: DataFrame, actions: DataFrame, callouts: DataFrame,
         (red & ~F.col("duplicate_of").startswith("decision:") & F.col("_dup").isNull(), "unknown_duplicate_reference"),
         (disp & (F.col("disposition") == "build_relevant_unsupported") & (F.trim(F.coalesce("disposition_reason", F.lit(""))) == ""), "missing_disposition_reason"),
         (target & ~F.coalesce(tk.isin(*TARGET_KINDS), F.lit(False)), "unknown_target_kind"),
-        (target & (ids.isNull() | (F.size(ids) == 0) | (F.size(ids) > TARGET_LIMIT)), "invalid_target_ids"),
+        (target & (ids.isNull() | (F.size(ids) == 0) | (F.size(ids) > max_targets)), "invalid_target_ids"),
         (target & (F.size(F.array_distinct(ids)) != F.size(ids)), "duplicate_target_ids"),
         (target & (((tk == "circle") & (F.size(ids) != 1)) | ((tk == "circle_group") & (F.size(ids) < 2)) | ((tk == "vertex_pair") & (F.size(ids) != 2))), "cardinality"),
         (target & F.col("_lost"), "unknown_geometry"), (target & F.col("_rev").isNull(), "no_transcription"), (target & (F.col("_ps") != "current"), "no_current_parse"))

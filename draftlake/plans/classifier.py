@@ -25,20 +25,20 @@ def recall_threshold(scored: DataFrame, recall: float = 0.9) -> float:
     return cum.where(F.col("cum") >= recall * total).agg(F.max("score").alias("s")).first()["s"]
 
 
-def logo_classifier(df: DataFrame, group: str, features: Sequence[str], label: str = "label", recall: float = 0.9, max_groups: int = 100) -> DataFrame:
+def logo_classifier(df: DataFrame, group: str, features: Sequence[str], label: str = "label", recall: float = 0.9, max_folds: int = 20) -> DataFrame:
     """Predictions of every row by a model that never saw its group: (group, row columns, score, predicted).
 
-    Scaling is fitted on the training rows only. One fit per group: groups are folds (sheets of a labelled study),
-    so their number is checked; use coarser folds beyond ``max_groups``.
+    Scaling is fitted on the training rows only. A fold is one group; with more than ``max_folds`` groups a fold is all
+    groups of one hash value, so the number of fits is bounded at any number of groups and no row is left out.
     """
-    folds = [r[0] for r in df.select(group).distinct().limit(max_groups + 1).collect()]
-    if len(folds) > max_groups:
-        raise ValueError(f"more than {max_groups} groups: derive coarser folds first")
-    rows = cut(VectorAssembler(inputCols=list(features), outputCol="raw").transform(df.withColumn("label", F.col(label).cast("double"))))
+    few = df.select(group).distinct().limit(max_folds + 1).count() <= max_folds
+    key = F.col(group) if few else F.pmod(F.xxhash64(group), F.lit(max_folds))
+    data = df.withColumn("label", F.col(label).cast("double")).withColumn("_fold", F.coalesce(key.cast("string"), F.lit("")))
+    rows = cut(VectorAssembler(inputCols=list(features), outputCol="raw").transform(data))
     stages = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), LogisticRegression(maxIter=50, regParam=0.01)])
     out = None
-    for fold in sorted(folds):
-        train, held = rows.where(F.col(group) != fold), rows.where(F.col(group) == fold)
+    for fold in sorted(r[0] for r in rows.select("_fold").distinct().collect()):
+        train, held = rows.where(F.col("_fold") != fold), rows.where(F.col("_fold") == fold)
         model = stages.fit(train)
         score = vector_to_array("probability")[1]
         limit = recall_threshold(model.transform(train).select(score.alias("score"), "label"), recall)

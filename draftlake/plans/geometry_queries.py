@@ -401,14 +401,14 @@ select sheet_id, case when n = 1 then view_id end view_id, count(*) geometries f
 
 
 def view_names(spark, sf):
-    l = _df(spark, sf, "part", LOOPS).where("loop_id % 5 < 3")
+    l = _df(spark, sf, "part", LOOPS)
     v = l.select("sheet_id", F.col("loop_id").alias("view_id"), F.col("loop_id").alias("ord"), (F.col("loop_id") % 23 == 0).alias("hatched"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
     return gt.name_views(v, _frames(l)).select("sheet_id", "view_id", "kind")
 
 
 QUERIES["view_names_parts"] = view_names
 ORACLES["view_names_parts"] = f"""with {_LOOPS_SQL},
-v as (select *, x1 - x0 w, y1 - y0 h, (x0 + x1) / 2 cx, (y0 + y1) / 2 cy, case when loop_id % 23 = 0 then 'section' when x0 > 550 and x1 - x0 < 450 then 'isometric' end fx from lp where loop_id > -1 and loop_id % 5 < 3),
+v as (select *, x1 - x0 w, y1 - y0 h, (x0 + x1) / 2 cx, (y0 + y1) / 2 cy, case when loop_id % 23 = 0 then 'section' when x0 > 550 and x1 - x0 < 450 then 'isometric' end fx from lp where loop_id > -1),
 f as (select sheet_id, arg_max(loop_id, (cx < 620, cy, -loop_id)) fid, arg_max(cx, (cx < 620, cy, -loop_id)) fcx, arg_max(cy, (cx < 620, cy, -loop_id)) fcy, arg_max(w, (cx < 620, cy, -loop_id)) fw from v where fx is null group by 1)
 select v.sheet_id, loop_id view_id, case when fx is not null then fx when loop_id = fid then 'front' when cx > fcx + 0.25 * fw then 'side' when cy < fcy - 20 then 'plan' else 'unknown' end kind from v left join f using (sheet_id)"""
 
@@ -486,13 +486,14 @@ select name, ok, count(*) checks, count(*) filter (not ok) refusals from l group
 
 
 def reached(spark, sf):
+    """A line item binds its part's circle on the sheet of its supplier, so only some meet the circle's own sheet."""
     f = _df(spark, sf, "part", CIRCLES).select("sheet_id", "geometry_id")
-    b = table(spark, sf, "lineitem").selectExpr("l_partkey % 25 as sheet_id", "concat('c', cast(l_partkey as string)) as first_id", "case when l_linenumber = 1 then concat('c', cast(l_orderkey as string)) end as second_id").where("sheet_id % 2 = 0")
+    b = table(spark, sf, "lineitem").selectExpr("l_suppkey % 25 as sheet_id", "concat('c', cast(l_partkey as string)) as first_id", "case when l_linenumber = 1 then concat('c', cast(l_orderkey as string)) end as second_id")
     return gt.unbound(f, b).groupBy("sheet_id").agg(F.count(F.lit(1)).alias("unbound"))
 
 
 QUERIES["unbound_features_parts"] = reached
-ORACLES["unbound_features_parts"] = f"""with {BASE_SQL}, b as (select l_partkey % 25 s, 'c' || l_partkey id from lineitem where l_partkey % 25 % 2 = 0 union select l_partkey % 25, 'c' || l_orderkey from lineitem where l_linenumber = 1 and l_partkey % 25 % 2 = 0)
+ORACLES["unbound_features_parts"] = f"""with {BASE_SQL}, b as (select l_suppkey % 25 s, 'c' || l_partkey id from lineitem union select l_suppkey % 25, 'c' || l_orderkey from lineitem where l_linenumber = 1)
 select sheet_id, count(*) as unbound from ci where (sheet_id, geometry_id) not in (select s, id from b) group by 1"""
 
 

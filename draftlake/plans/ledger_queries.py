@@ -87,12 +87,12 @@ select sheet_id, a.id, case when n = 1 then g end geometry_id from a left join j
 
 def label_hits(spark, sf):
     r = table(spark, sf, "lineitem").selectExpr("l_suppkey as sheet_id", "l_quantity as value", "l_linestatus as path", "l_returnflag as reason")
-    l = table(spark, sf, "part").where("p_partkey % 4 = 1").selectExpr("p_partkey % 100 as sheet_id", "cast(p_size as double) + 0.3 as value_mm")
+    l = table(spark, sf, "part").selectExpr("p_partkey % 100 as sheet_id", "cast(p_size as double) + 0.3 as value_mm")
     return cov.label_match_summary(cov.label_match(r, l))
 
 
 QUERIES["label_match_lineitem"] = label_hits
-ORACLES["label_match_lineitem"] = """with l as (select p_partkey % 100 s, p_size::double + 0.3 v from part where p_partkey % 4 = 1)
+ORACLES["label_match_lineitem"] = """with l as (select p_partkey % 100 s, p_size::double + 0.3 v from part)
 select l_suppkey sheet_id, l_linestatus path, l_returnflag reason, count(*) readings, count(*) filter (exists(select 1 from l where s = l_suppkey and abs(l_quantity - v) <= greatest(0.001, 0.04::double * v))) label_matching from lineitem group by 1, 2, 3"""
 
 

@@ -168,17 +168,17 @@ def imported(spark, sf):
                  F.when(F.col("session_id") % 40 == 1, 2).otherwise(3).alias("base_revision"), F.lit("p2").alias("parser_version"), F.lit(1).alias("geometry_version"), F.lit("k").alias("geometry_key"))
     a = _base(spark, sf).select(F.concat(F.lit("b"), F.col("session_id").cast("string")).alias("bundle_id"), "session_id", F.col("callout_id").cast("int").alias("index"),
                                 F.when(F.col("callout_id") % 97 == 0, "erase").when(F.col("callout_id") % 3 == 0, "transcribe").when(F.col("callout_id") % 3 == 1, "confirm_target").otherwise("set_disposition").alias("action"), "callout_id",
-                                F.when(F.col("callout_id") % 15 > 0, "t").otherwise(" ").alias("raw_text"), F.lit(None).cast("array<double>").alias("region"), F.when(F.col("callout_id") % 10 == 0, "odd").otherwise("not_model_input").alias("disposition"),
+                                F.when(F.col("callout_id") % 15 == 0, " ").when(F.col("callout_id") % 33 == 0, F.repeat(F.lit("t"), 201)).otherwise("t").alias("raw_text"), F.lit(None).cast("array<double>").alias("region"), F.when(F.col("callout_id") % 10 == 0, "odd").otherwise("not_model_input").alias("disposition"),
                                 F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("string").alias("disposition_reason"), F.lit("circle").alias("target_kind"), F.array("circle").alias("target_ids"))
     geometry = r["circles"].select("session_id", F.lit("circle").alias("kind"), F.col("circle_id").alias("geometry_id"))
     none = s.limit(0).selectExpr("session_id", "cast(null as string) as name")
-    valid, errors = ses.validate_bundle(b, a, r["callouts"], s, geometry, none, f, "p2", "1", 5)
+    valid, errors = ses.validate_bundle(b, a, r["callouts"], s, geometry, none, f, "p2", "1", 5, max_actions=200, max_text=200, max_targets=100)
     return errors.groupBy("code").agg(F.count(F.lit(1)).alias("rows")).unionByName(valid.groupBy(F.lit("valid").alias("code")).agg(F.count(F.lit(1)).alias("rows")))
 
 
 QUERIES["review_bundle_import_orders"] = imported
 ORACLES["review_bundle_import_orders"] = f"""with {FRESH_SQL},
-a as (select session_id s, case when callout_id % 97 = 0 then 'unknown_action' when callout_id % 3 = 0 then case when callout_id % 15 = 0 then 'empty_text' end
+a as (select session_id s, case when callout_id % 97 = 0 then 'unknown_action' when callout_id % 3 = 0 then case when callout_id % 15 = 0 then 'empty_text' when callout_id % 33 = 0 then 'text_too_long' end
   when callout_id % 3 = 1 then case when circle = 'c4' then 'unknown_geometry' when not has_t then 'no_transcription' when p_state <> 'current' then 'no_current_parse' end when callout_id % 10 = 0 then 'unknown_disposition' end code from fr),
 e as (select s, code from a where code is not null union all select distinct s, 'source_mismatch' from a where s % 50 = 0 union all select distinct s, 'stale_base_revision' from a where s % 40 = 1)
 select code, count(*) as rows from e group by 1 union all select 'valid', count(*) from a where s not in (select s from e) having count(*) > 0"""
