@@ -20,6 +20,7 @@ DIAMETER_ROLES = ["outer_diameter", "inner_diameter", "hole_diameter"]
 RADIUS_ROLES = ["bend_radius", "corner_radius", "fillet"]
 LENGTH_ROLES = ["edge", "thickness", "hole_spacing"]
 
+# Patterns of printed counts, units and fractions (B1, B2).
 _COUNT = r"^\s*(\d{1,2})\s*(?:[xX×]\s*(\d{1,2}))?\s*(?:[-–]\s*|[xX×]\s*)(?=[ØÖ⌀ΦRrCc\d])"
 _INCH = r"(?i)(?<![A-Za-z])(?:inch(?:es)?|in)(?![A-Za-z])|\""
 _UNIT_WORD = r"(?i)(?<![A-Za-z])(?:inch(?:es)?|in|mm)(?![A-Za-z])"
@@ -125,6 +126,7 @@ def role_choices(text: Column, kind: Column) -> Column:
 
 def text_class(text: Column) -> Column:
     """Class of a printed text: diameter, diameter_callout, callout, radius or linear."""
+    # The marks of each class.
     note = text.rlike("THRU|DEPTH")
     return (
         F.when(text.contains("Ø"), F.when(note, "diameter_callout").otherwise("diameter"))

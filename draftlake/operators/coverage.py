@@ -287,6 +287,7 @@ def _byte(seed: str, col: Column) -> Column:
 
 def inject_defects(proposals: DataFrame) -> DataFrame:
     """Half the rows, chosen by their id's hash, get one deterministic wrong binding (NULL ``defect`` otherwise)."""
+    # The two seeds.
     hit = _byte("review-defect:", F.col("span_id")) % 2 == 0
     rule = _byte("review-rule:", F.col("span_id"))
     many = F.col("kind").isin(*NEEDS_MATCHED) & (F.size("matched") >= 2)

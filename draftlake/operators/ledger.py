@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from draftlake.operators.evaluation import ratio
@@ -192,9 +191,3 @@ def field_changes(revisions: DataFrame, keys: Sequence[str], fields: Sequence[st
     rows = F.array_compact(F.array(*[F.when(~F.col(f).cast("string").eqNullSafe(F.col(f"_prev.{f}")), F.struct(
         F.lit(f).alias("field"), F.col(f"_prev.{f}").alias("old"), F.col(f).cast("string").alias("new"))) for f in fields]))
     return prev.select(*keys, "revision", "actor", F.inline(rows))
-
-
-def edge_rank(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:
-    """The n largest rows per key (largest loop or stack first)."""
-    w = W.partitionBy(*keys).orderBy(F.col(by).desc(), F.col("id"))
-    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

@@ -25,6 +25,7 @@ KEY = ["session_id", "callout_id"]
 MM_LIMIT = 1e6
 AXIS_TOL_PX = 0.5
 PARSE_FIELDS = ["status", "form", "size", "count", "termination", "depth", "unit"]
+# Coverage buckets and compile reasons of the review contract.
 COVERAGE_BUCKETS = ["not_model_input", "redundant", "build_applied", "build_relevant_unsupported", "unclassified",
                     "legacy_unclassified", "stale", "compile_blocked", "invalid_duplicate"]
 COVERAGE_BLOCKING = ["unclassified", "legacy_unclassified", "stale", "compile_blocked", "invalid_duplicate", "build_relevant_unsupported"]
@@ -296,6 +297,7 @@ def export_bundle(fresh: DataFrame, parses: DataFrame, targets: DataFrame, propo
         "raw_text", "revision", "semantic_parse", "target_proposals", "confirmed_target")
 
 
+# Actions, dispositions and target kinds of a bundle.
 IMPORT_ACTIONS = ["transcribe", "ignore", "restore", "confirm_target", "select_target", "set_disposition"]
 DISPOSITIONS = ["not_model_input", "redundant", "build_relevant_unsupported"]
 TARGET_KINDS = ["circle", "circle_group", "arc", "profile", "vertex_pair"]
