@@ -1,0 +1,27 @@
+"""Cases of the second advice: what the operators left out before."""
+
+import random
+
+from draftlake.llm import chains
+
+
+def _words(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+
+
+def _table(spark, texts):
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+
+
+def test_passage_whose_parts_stand_elsewhere(spark):
+    texts, want = {}, set()
+    for t in range(40):
+        n = 52 + t
+        whole, at = _words(1000 + t, n), 10 * t
+        parts = {1: whole[: n // 2], 2: whole[n // 2 :], 3: whole, 4: whole, 5: whole[: n // 2], 6: whole[n // 2 :]}
+        for d, part in parts.items():
+            texts[at + d] = _words(f"{t} {d} l", 60) + part + _words(f"{t} {d} r", 60)
+        want.add((at + 4, at + 3))
+    got = {(r["doc_id"], r["partner_id"]) for r in chains.repeated_passages(_table(spark, texts)).where("not earlier").collect()}
+    assert got == want
