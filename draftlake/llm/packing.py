@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -80,25 +81,36 @@ def read_tokens(path: str) -> list[bytes]:
     return [ids[i] for i in range(len(ids))]
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of such a file and their ids; the library finds them in a text before anything else."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", ())
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens that take in white space or stand as whole words only are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 _encoders: dict[str, tuple] = {}
 
 
 def _encoder(shared) -> tuple:
     """(tiktoken's encoder of the same ranks, this library's own), built once in a Python worker."""
-    tokens, pattern, key = shared.value
+    tokens, pattern, added, key = shared.value
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = (tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={}), Codec(tokens, pattern, pattern))
+        _encoders[key] = (tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens=added), Codec(tokens, pattern, pattern))
     return _encoders[key]
 
 
 def token_ids(encoder: tuple, text: str) -> np.ndarray:
-    """Unsigned 32-bit ids of a text; strings of special tokens are ordinary text."""
+    """Unsigned 32-bit ids of a text; strings of added tokens have the ids of those, as in the tokenizers library."""
     quick, own = encoder
     try:
-        return quick.encode_to_numpy(text, disallowed_special=())
+        return quick.encode_to_numpy(text, allowed_special="all")
     except ValueError:  # its regular expressions refuse very long runs of white space
-        return np.array(own.encode(text), np.uint32)
+        added = sorted(quick.special_tokens_set, key=len, reverse=True)
+        parts = re.split(f"({'|'.join(map(re.escape, added))})", text) if added else [text]
+        return np.array([i for part in parts for i in ([quick.encode_single_token(part)] if part in quick.special_tokens_set else own.encode(part))], np.uint32)
 
 
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, piece long"
@@ -111,7 +123,9 @@ def cut_pieces(docs: DataFrame, path: str, context: int = CONTEXT, end_id: int =
     """
     tokens = read_tokens(path)
     pattern = public_tokenizers.PATTERN
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern, hashlib.sha256(b"\0".join(tokens)).hexdigest()))
+    added = read_added(path)
+    key = hashlib.sha256(b"\0".join(tokens) + json.dumps(added, sort_keys=True).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, pattern, added, key))
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)

@@ -1,8 +1,15 @@
 """Cases of the second advice: what the operators left out before."""
 
 import random
+import zlib
 
-from draftlake.llm import chains
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+from draftlake.llm import chains, packing
+
+JSON = P.path("byte_bpe_50k.json")
 
 
 def _words(seed, n):
@@ -49,3 +56,17 @@ def test_edited_passages(spark):
     print("recall (percent equal, words, evenly placed):", recall)
     # At random places the ends of a passage at exactly four fifths may fall off and leave it below 50 words.
     assert all(v >= (0.95 if k[0] > 80 or k[2] else 0.8) for k, v in recall.items())
+
+
+def test_added_tokens_keep_their_ids(spark):
+    plain = Tokenizer.from_file(JSON)  # with its defaults
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"x  {end}{end}\n y", f"<|endoftext {end}|>", f"don't{end}'t", "plain", "", f"a{' ' * 300000}b {end} c"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).collect()
+    for i, text in enumerate(texts):
+        ids = np.array(plain.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        assert (50256 in ids) == (end in text)
+        own = [r for r in rows if r["doc_id"] == i]
+        assert sum(r["length"] for r in own) == len(ids)
+        for r in own:
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()), text[:40]
