@@ -1,9 +1,9 @@
 """Secret scans by linking the parts of a credential; built-in column functions only.
 
 Strong patterns (an assignment to a secret's name, an access identifier, a long hex run) are reported by themselves. Weak
-parts (a login name, an unnamed mixed string, an endpoint) are reported only where complementary parts stand together:
-inside one scope (lines without a blank line between them) and at most ``REACH`` characters apart. Every part is widened by
-half that reach, cut into cells and joined with the parts of other roles that reach the same cell.
+parts (a login name, an unnamed mixed string, an endpoint) are reported only where complementary parts stand together
+inside one scope (lines without a blank line between them), however far apart. The scope is the interval that parts are
+joined on: each meets the roles that its scope holds, so work grows with the parts and not with their pairs.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REACH = 200
-
 # Fixed values of the contract: the patterns of the three base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -84,26 +82,19 @@ def _role(kind: Column) -> Column:
     return F.element_at(F.array(*(F.lit(ROLES[k]) for k in KINDS)), kind + 1)
 
 
-def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
+def linked(parts: DataFrame) -> DataFrame:
     """(key, spans): the weak parts that a complementary part completes.
 
-    ``parts`` (key, scope_starts, spans) holds the parts of each distinct text. A part lies in the cells of ``reach``
-    characters that it touches when widened by half of ``reach`` on either side; two parts meet in a shared cell.
+    ``parts`` (key, scope_starts, spans) holds the parts of each distinct text. A secret is completed by any part of its
+    scope that is none, the others by a secret of their scope.
     """
     one = parts.select("key", "scope_starts", F.explode("spans").alias("s")).select(
-        "key", "s", _role(F.col("s.kind")).alias("role"), F.size(F.filter("scope_starts", lambda p: p <= F.col("s.start"))).alias("scope"))
-    half = reach // 2
-    celled = one.withColumn("cell", F.explode(F.sequence(F.floor((F.col("s.start") - half) / reach), F.floor((F.col("s.end") + half) / reach))))
-    # Of each cell and role the other side needs only the parts themselves: there are few in so many characters.
-    other = celled.select("key", "cell", F.col("s").alias("o"), F.col("role").alias("other_role"), F.col("scope").alias("other_scope"))
-    met = celled.where(F.col("s.kind") >= 3).join(other, ["key", "cell"]).where(
-        (F.col("role") != F.col("other_role")) & (F.col("scope") == F.col("other_scope"))
-        & ((F.col("role") == "secret") | (F.col("other_role") == "secret"))
-        & (F.greatest("s.start", "o.start") - F.least("s.end", "o.end") <= reach))
-    return met.groupBy("key").agg(F.collect_set("s").alias("more"))
-
-
-def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, reach: int = REACH) -> DataFrame:
+        "key", "s", (_role(F.col("s.kind")) == "secret").alias("secret"), F.size(F.filter("scope_starts", lambda p: p <= F.col("s.start"))).alias("scope"))
+    whole = one.groupBy("key", "scope").agg(F.max("secret").alias("secrets"), F.min("secret").alias("only")).where("secrets and not only")
+    return one.where(F.col("s.kind") >= 3).join(whole, ["key", "scope"], "left_semi").groupBy("key").agg(F.collect_set("s").alias("more"))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, base, spans): the ``keep`` columns as a struct, and array<struct<start, kind, end>> (kind by its place in ``KINDS``).
 
     Base spans stay in ``spans``; linked weak parts come on top unless a base span covers them. Equal texts are linked once,
@@ -119,7 +110,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     keyed = scanned.withColumn("key", F.when(hopeful, F.sha2("body", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("row").cast("string"))))
     starts = F.transform(spans(F.col("body"), BLANK, "assign"), lambda s: s["end"])
     parts = keyed.where(hopeful).select("key", starts.alias("scope_starts"), both.alias("spans")).distinct()
-    joined = keyed.select("row", "base", "key").join(linked(parts, reach), "key", "left")
+    joined = keyed.select("row", "base", "key").join(linked(parts), "key", "left")
     extra = F.filter(F.coalesce("more", F.expr(f"cast(array() as {SPANS})")), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return joined.select("row", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
