@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: each applies its operator, with production parameters, to its whole table."""
+"""The registered queries of the operators: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, chains, credentials, factorisation, licences, neardup, packing, permutation, shards, supervision
+from draftlake.llm import bpe, chains, credentials, factorisation, licences, neardup, packing, permutation, shards, supervision, whitening
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -52,5 +52,9 @@ def op10_factorisation_machine(spark: SparkSession, sf: str) -> DataFrame:
     return factorisation.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op8_sentence_rules, op9_shortest_pack_first, op10_factorisation_machine)}
+def op12_bidiagonal_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op8_sentence_rules, op9_shortest_pack_first, op10_factorisation_machine, op12_bidiagonal_whitening)}
 ORACLES: dict[str, str] = {"op8_sentence_rules": licences.oracle()}
