@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from draftlake.llm import bpe, chains, credentials, factorisation, licences, neardup, packing, permutation, runs, shards, supervision, whitening
+from draftlake.llm import bpe, chains, credentials, factorisation, licences, neardup, packing, permutation, runs, scoring, shards, supervision, whitening
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,5 +60,9 @@ def op12_bidiagonal_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op8_sentence_rules, op9_shortest_pack_first, op10_factorisation_machine, op11_branching_tandems, op12_bidiagonal_whitening)}
+def op13_causal_attention(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.score_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_permutation_index, op3_linked_credentials, op4_collinear_chains, op5_weak_supervision, op6_jump_shards, op7_lsh_forest, op8_sentence_rules, op9_shortest_pack_first, op10_factorisation_machine, op11_branching_tandems, op12_bidiagonal_whitening, op13_causal_attention)}
 ORACLES: dict[str, str] = {"op8_sentence_rules": licences.oracle()}

@@ -71,12 +71,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
-def chunks(texts: pa.Array, fold: bool = False) -> Iterator[Words]:
-    """Words of the texts, in order; ``fold`` lower-cases A-Z only."""
+def chunks(texts: pa.Array, fold: bool = False, size: int = CHUNK) -> Iterator[Words]:
+    """Words of the texts, in order, ``size`` bytes at once; ``fold`` lower-cases A-Z only."""
     raw, bounds = text_bytes(texts)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
         yield _words(raw[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], range(first, last), fold)
         first = last
 
