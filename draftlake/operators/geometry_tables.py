@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from draftlake.functions import geometry as g
 from draftlake.functions.staging import stage
 from draftlake.functions.text import extract_dimensions
-from draftlake.operators.graph import lead_groups
+from draftlake.operators.graph import first_members, lead_groups
 from draftlake.operators.grid import box_pairs, cell, near_values, neighbours
 from draftlake.operators.scan import has_hot_group, lag_value, running_max_before, running_sum, top_k
+from draftlake.session import cut
 
 SHEET = ["sheet_id"]
 PI = 3.141592653589793
@@ -69,21 +70,26 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], gap: Column | float) ->
     return out.groupBy(*keys, "interval_no").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("members"))
 
 
+def word_lines(words: DataFrame) -> DataFrame:
+    """``words`` with ``line_mid``: from top to bottom by centre, a word belongs to a line while its centre is near the first word's.
+
+    Near is 0.6 of the first word's height; words of one centre go from left to right. ``line_mid`` is the first word's
+    centre.
+    """
+    w = words.withColumn("_mid", F.col("top") + F.col("height") / 2)
+    return first_members(w, SHEET, "_mid", F.col("_mid") + 0.6 * F.col("height"), ["left", "ord"], "line_mid")
+
+
 def words_to_phrases(words: DataFrame) -> DataFrame:
-    """Recognised words into printed phrases: lines by vertical centre, then gaps of at most 1.5 heights.
+    """Recognised words into printed phrases: lines by their first word's centre, then gaps of at most 1.5 heights.
 
     ``words`` (sheet_id, ord, text, left, top, width, height, confidence).
     """
     hot = has_hot_group(words, SHEET)
-    mid = F.col("top") + F.col("height") / 2
-    w = words.withColumn("_mid", mid)
-    order = [F.col("_mid"), F.col("left"), F.col("ord")]
-    w = lag_value(w, SHEET, order, F.struct("_mid", "height"), "p", hot)
-    fresh = F.coalesce(F.abs(F.col("_mid") - F.col("p._mid")) > 0.6 * F.greatest(F.col("height"), F.col("p.height")), F.lit(True))
-    w = _sessions(w, SHEET, order, fresh, "line_no", hot)
-    line = ["sheet_id", "line_no"]
+    w = cut(word_lines(words))
+    line = ["sheet_id", "line_mid"]
     order = [F.col("left"), F.col("ord")]
-    w = lag_value(w.drop("p"), line, order, F.struct("left", "width", "height"), "p", hot)
+    w = lag_value(w, line, order, F.struct("left", "width", "height"), "p", hot)
     wide = F.coalesce(F.col("left") - (F.col("p.left") + F.col("p.width")) > 1.5 * F.greatest(F.col("height"), F.col("p.height")), F.lit(True))
     w = _sessions(w, line, order, wide, "phrase_no", hot)
     out = w.groupBy(*line, "phrase_no").agg(
@@ -344,31 +350,50 @@ def audit_contours(edges: DataFrame, keys: Sequence[str] = ("sheet_id", "profile
     return out.unionByName(issue(flat, "zero_area"))
 
 
+def _led_classes(items: DataFrame, same: list[str], pairs_of, out: str) -> DataFrame:
+    """``items`` with ``out``, the first member of their group; equal ones (by ``same``) are one item while groups are found.
+
+    An item equal to an earlier one meets the same first members, and leaders that came in between come later.
+    """
+    classes = cut(items.groupBy("sheet_id", *same).agg(F.min("ord").alias("ord")))
+    led = lead_groups(classes, pairs_of(classes), SHEET).select("sheet_id", "ord", F.col("leader").alias(out))
+    return items.join(classes.join(led, ["sheet_id", "ord"]).drop("ord"), ["sheet_id", *same])
+
+
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select("sheet_id", F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+
+
 def circle_families(circles: DataFrame) -> DataFrame:
     """Concentric families: each circle joins the first earlier family whose first circle shares its centre.
 
     ``circles`` (sheet_id, geometry_id, ord, cx, cy, r); adds ``family`` (the leader's ord).
     """
     size = 32.0
-    c = circles.withColumn("_reach", F.greatest(F.lit(2.0), 0.03 * F.col("r")))
-    spread = c.select("sheet_id", F.col("ord").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), "_reach").withColumn(
-        "_cx", F.explode(neighbours(F.col("ax"), size, F.col("_reach")))).withColumn("_cy", F.explode(neighbours(F.col("ay"), size, F.col("_reach"))))
-    placed = c.select("sheet_id", F.col("ord").alias("b"), "cx", "cy", cell(F.col("cx"), size).alias("_cx"), cell(F.col("cy"), size).alias("_cy"))
-    pairs = spread.join(placed, ["sheet_id", "_cx", "_cy"]).where("a <> b").where(g.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")) <= F.col("_reach"))
-    pairs = pairs.select("sheet_id", F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
-    led = lead_groups(circles, pairs, SHEET).select("sheet_id", "ord", F.col("leader").alias("family"))
-    return circles.join(led, ["sheet_id", "ord"])
+
+    def pairs(c: DataFrame) -> DataFrame:
+        reach = F.greatest(F.lit(2.0), 0.03 * F.col("r"))
+        # The larger circle's reach decides, so it looks for smaller ones.
+        spread = c.select("sheet_id", F.col("ord").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").alias("ar"), reach.alias("_reach")).withColumn(
+            "_cx", F.explode(neighbours(F.col("ax"), size, F.col("_reach")))).withColumn("_cy", F.explode(neighbours(F.col("ay"), size, F.col("_reach"))))
+        placed = c.select("sheet_id", F.col("ord").alias("b"), "cx", "cy", "r", cell(F.col("cx"), size).alias("_cx"), cell(F.col("cy"), size).alias("_cy"))
+        near = (F.col("r") <= F.col("ar")) & (g.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")) <= F.col("_reach"))
+        return _either_way(spread.join(placed, ["sheet_id", "_cx", "_cy"]).where(near))
+
+    return _led_classes(circles, ["cx", "cy", "r"], pairs, "family")
 
 
 def equal_diameters(circles: DataFrame, tol: float = 0.03) -> DataFrame:
     """Circles of one drawn size: each joins the first earlier group whose first radius is within 3 %."""
-    d = circles.withColumn("_l", F.ln("r"))
-    a = d.select("sheet_id", F.col("ord").alias("early"), F.col("r").alias("r0"), F.col("_l").alias("l0"))
-    b = d.select("sheet_id", F.col("ord").alias("late"), F.col("r").alias("r1"), F.col("_l").alias("l1"))
-    close = F.abs(F.col("r1") - F.col("r0")) <= tol * F.greatest("r1", "r0")
-    pairs = near_values(a, b, SHEET, "l0", "l1", F.lit(0.0306), 0.04, (F.col("early") < F.col("late")) & close)
-    led = lead_groups(circles, pairs, SHEET).select("sheet_id", "ord", F.col("leader").alias("size_group"))
-    return circles.join(led, ["sheet_id", "ord"])
+
+    def pairs(c: DataFrame) -> DataFrame:
+        d = c.withColumn("_l", F.ln("r"))
+        a = d.select("sheet_id", F.col("ord").alias("a"), F.col("r").alias("r0"), F.col("_l").alias("l0"))
+        b = d.select("sheet_id", F.col("ord").alias("b"), F.col("r").alias("r1"), F.col("_l").alias("l1"))
+        close = (F.col("r1") <= F.col("r0")) & (F.abs(F.col("r1") - F.col("r0")) <= tol * F.greatest("r1", "r0"))
+        return _either_way(near_values(a, b, SHEET, "l0", "l1", F.lit(0.0306), 0.04, close))
+
+    return _led_classes(circles, ["r"], pairs, "size_group")
 
 
 def circle_stacks(families: DataFrame, minimum: int = 3) -> DataFrame:
