@@ -431,6 +431,27 @@ ORACLES["closed_loops_parts"] = f"""with l as (select {_sql(LOOPS)} from part),
 s as (select *, case when loop_id % 10 = 0 then 'branchy' when loop_id % 7 = 0 then 'open' else 'ring' end state, 3 + (loop_id % 7 > 0)::int + (loop_id % 10 = 0)::int edges from l)
 select sheet_id, state, edges::bigint edges, count(*) loops, round(sum(case when state = 'ring' then (x1 - x0) * (y1 - y0) end), 0) area from s group by 1, 2, 3"""
 
+def branching(spark, sf):
+    """Each part draws a box; residues leave a side out, add a diagonal, a leader that ends free, or a second box below on the same side."""
+    l = _df(spark, sf, "part", LOOPS).withColumn("bx", (F.col("loop_id") * 2000).cast("double"))
+    x0, y0, x1, y1, low = F.col("bx") + F.col("x0"), F.col("y0"), F.col("bx") + F.col("x1"), F.col("y1"), F.col("y0") - 30
+    n = F.col("loop_id")
+    leg = lambda k, a, b, c, d: F.struct(F.lit(k).alias("leg"), a.alias("x0"), b.alias("y0"), (c + 0.3).alias("x1"), d.alias("y1"))
+    legs = [leg(0, x0, y0, x1, y0), leg(1, x1, y0, x1, y1), leg(2, x1, y1, x0, y1), F.when(n % 7 > 0, leg(3, x0, y1, x0, y0)), F.when((n % 10 == 0) & (n % 11 != 1), leg(4, x0, y0, x1, y1)), F.when(n % 3 == 0, leg(5, x1, y1, x1 + 30, y1 + 40))]
+    legs += [F.when(n % 11 == 1, leg(k, *way)) for k, way in ((6, (x0, y0, x0, low)), (7, (x0, low, x1, low)), (8, (x1, low, x1, y0)))]
+    s = l.select("sheet_id", "loop_id", F.inline(F.array_compact(F.array(*legs)))).select("sheet_id", F.concat_ws("-", "loop_id", "leg").alias("geometry_id"), "x0", "y0", "x1", "y1")
+    loops, _ = graph.branching_loops(s, 3.0)
+    return loops.groupBy("sheet_id", "edges").agg(F.count(F.lit(1)).alias("loops"), F.round(F.sum("area"), 0).alias("area"))
+
+
+QUERIES["branching_loops_parts"] = branching
+# What the residues leave closed: both boxes' outline, the box, the box below alone, or the triangle of two sides and the diagonal.
+ORACLES["branching_loops_parts"] = f"""with l as (select {_sql(LOOPS)} from part),
+k as (select *, loop_id % 7 > 0 as whole, loop_id % 11 = 1 as low, x1 - x0 w, y1 - y0 h from l),
+c as (select sheet_id, case when whole and low then 6 when whole or low then 4 when loop_id % 10 = 0 then 3 end edges, case when whole and low then w * (h + 30) when whole then w * h when low then w * 30 else w * h / 2 end area from k)
+select sheet_id, edges::bigint edges, count(*) loops, round(sum(area), 0) area from c where edges is not null group by 1, 2"""
+
+
 
 def fragments(spark, sf):
     c = _df(spark, sf, "part", CIRCLES)
