@@ -192,7 +192,7 @@ QUERIES["words_to_phrases_orders"] = word_phrases
 ORACLES["words_to_phrases_orders"] = f"""with recursive w as (select {', '.join(f'{e} as "{n}"' for n, e in WORDS.items())} from orders),
 m as (select *, top + height / 2 mid from w),
 pt as (select sheet_id, mid, arg_min(height, ("left", ord)) h from m group by 1, 2),
-nx as (select a.sheet_id, a.mid, min(b.mid) nxt from pt a join pt b on a.sheet_id = b.sheet_id and b.mid > a.mid + 0.6::double * a.h group by 1, 2),
+nx as materialized (select a.sheet_id, a.mid, min(b.mid) nxt from pt a join pt b on a.sheet_id = b.sheet_id and b.mid > a.mid + 0.6::double * a.h group by 1, 2),
 op as (select sheet_id, min(mid) mid from pt group by 1 union all select o.sheet_id, n.nxt from op o join nx n on o.sheet_id = n.sheet_id and o.mid = n.mid),
 n as (select m.*, op.mid ln from m asof join op on m.sheet_id = op.sheet_id and m.mid >= op.mid),
 p as (select *, lag("left") over z pl, lag(width) over z pw, lag(height) over z ph2 from n window z as (partition by sheet_id, ln order by "left", ord)),

@@ -257,7 +257,7 @@ QUERIES["cylinder_groups_lineitem"] = cylinder_groups
 # Openers one after the other, by a recursive walk from each key's first span to the first one beyond it.
 ORACLES["cylinder_groups_lineitem"] = """with recursive f as (select l_suppkey part_id, l_linenumber r, l_returnflag axis_key, l_linestatus = 'O' "inner", l_partkey::double lo, l_partkey + l_quantity hi, l_orderkey * 8 + l_linenumber id from lineitem),
 pt as (select part_id, r, axis_key, "inner", lo, arg_min(hi, id) hi from f group by 1, 2, 3, 4, 5),
-nx as (select a.part_id, a.r, a.axis_key, a."inner", a.lo, min(b.lo) nxt from pt a join pt b on a.part_id = b.part_id and a.r = b.r and a.axis_key = b.axis_key and a."inner" = b."inner" and b.lo > a.hi group by 1, 2, 3, 4, 5),
+nx as materialized (select a.part_id, a.r, a.axis_key, a."inner", a.lo, min(b.lo) nxt from pt a join pt b on a.part_id = b.part_id and a.r = b.r and a.axis_key = b.axis_key and a."inner" = b."inner" and b.lo > a.hi group by 1, 2, 3, 4, 5),
 op as (select part_id, r, axis_key, "inner", min(lo) lo from pt group by 1, 2, 3, 4
   union all select o.part_id, o.r, o.axis_key, o."inner", n.nxt from op o join nx n on o.part_id = n.part_id and o.r = n.r and o.axis_key = n.axis_key and o."inner" = n."inner" and o.lo = n.lo),
 c as (select part_id, axis_key, "inner", count(*) features from op group by 1, 2, 3), n as (select part_id, axis_key, "inner", count(*) faces from f group by 1, 2, 3)
