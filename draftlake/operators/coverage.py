@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from draftlake import constants as K
 from draftlake.functions.geometry import hypot
 from draftlake.functions.text import normalize_text, squash, text_class
-from draftlake.operators.grid import near_pairs, near_values
+from draftlake.operators.grid import cell, near_pairs, near_values, neighbours
 from draftlake.operators.scan import rank_value
 
 SAME_REL, SAME_ABS = 0.001, 1e-6
@@ -321,6 +321,42 @@ def evidence_level(decisions: DataFrame, claims: DataFrame, printed: DataFrame,
     return out.withColumn("level", F.when(F.col("_b"), "bound").when(F.col("_p"), "present").otherwise("absent")).drop("_p", "_b")
 
 
+# Fixed value: how far, on each axis, a point may stand from a centre or an edge's end.
+POINT_TOLERANCE = 2.0
+
+
+def geometry_at(points: DataFrame, circles: DataFrame, edges: DataFrame, keys: Sequence[str] = ("sheet_id",), tolerance: float = POINT_TOLERANCE) -> DataFrame:
+    """(keys, x, y, geometry_id): circles (id, cx, cy) whose centre, and edges (id, x0, y0, x1, y1) with an end, at a distinct point (x, y).
+
+    Near means within ``tolerance`` on both axes. Anchors keep to their cell and points visit at most four, so hot sheets are
+    split by cell; repeated points and anchors meet once.
+    """
+    keys = list(keys)
+    ends = edges.select(*keys, "id", F.inline(F.array(F.struct(F.col("x0").alias("ax"), F.col("y0").alias("ay")), F.struct(F.col("x1").alias("ax"), F.col("y1").alias("ay")))))
+    anchors = circles.select(*keys, "id", F.col("cx").alias("ax"), F.col("cy").alias("ay")).unionByName(ends).distinct()
+    size = 2 * tolerance
+    visit = lambda c: F.explode(neighbours(F.col(c), size, tolerance + 1e-6))  # a hair more, so that rounding loses no touching pair
+    spots = points.select(*keys, "x", "y").distinct().withColumn("_cx", visit("x")).withColumn("_cy", visit("y"))
+    placed = anchors.withColumn("_cx", cell(F.col("ax"), size)).withColumn("_cy", cell(F.col("ay"), size))
+    near = (F.abs(F.col("ax") - F.col("x")) <= tolerance) & (F.abs(F.col("ay") - F.col("y")) <= tolerance)
+    return spots.join(placed, [*keys, "_cx", "_cy"]).where(near).select(*keys, "x", "y", F.col("id").alias("geometry_id")).distinct()
+
+
+def point_evidence(
+    decisions: DataFrame, circles: DataFrame, edges: DataFrame, claims: DataFrame, printed: DataFrame, keys: Sequence[str] = ("sheet_id",),
+) -> DataFrame:
+    """Decisions (x, y, value) with ``n_geometry`` at their point and the best ``level`` that the value has on any of it.
+
+    Without geometry, or without a point, a value can only be present or absent; a null value is absent.
+    """
+    asked = decisions.select(*keys, "x", "y", "value").distinct()
+    level = evidence_level(asked.join(geometry_at(asked, circles, edges, keys), [*keys, "x", "y"], "left"), claims, printed, keys)
+    rank = F.when(F.col("level") == "bound", 2).when(F.col("level") == "present", 1).otherwise(0)
+    best = level.groupBy(*keys, "x", "y", "value").agg(F.count("geometry_id").alias("n_geometry"), F.max_by("level", rank).alias("level"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "x", "y", "value")]
+    return decisions.alias("d").join(best.alias("b"), same).select("d.*", "b.n_geometry", "b.level")
+
+
 def detector_score(df: DataFrame, predicted: str, truth: str, keys: Sequence[str] = ()) -> DataFrame:
     p, t = F.col(predicted), F.col(truth)
     out = df.groupBy(*keys).agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))

@@ -99,6 +99,22 @@ def lag_value(
     )
 
 
+def positions(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Gapless place of every row, from 0, in ``order`` over the whole table.
+
+    Each range of the order counts on its own, and only one count per range crosses to the next one, so no task sees
+    more than its range, whatever the keys. Rows that tie in ``order`` are numbered side by side in any order.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # An id holds the range in its upper bits and the place in the range in its lower 33; writing fixes both.
+    numbered = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    local = numbered.withColumn("_blk", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = local.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n")).select("_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return local.join(offsets, "_blk").withColumn(out, F.col("_at") + F.col("_off")).drop("_id", "_blk", "_at", "_off")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key in a total order.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from draftlake.functions.identity import identity
 from draftlake.functions.regions import bbox_issue
+from draftlake.operators.scan import positions
 
 # Reading method -> kind of source.
 SOURCE_KINDS = {"pdf-text": "vector_text", "tesseract-tsv": "raster_region"}
@@ -62,6 +63,18 @@ def candidate_observations(texts: DataFrame, frames: DataFrame, detector_version
     return _candidate_id(sound, detector_version)
 
 
+def canonical_order(df: DataFrame, keys: Sequence[str] = ("sheet_id",)) -> DataFrame:
+    """Reading order y0, x0, y1, x1, source kind, id: adds ``position`` over the whole table, sheet by sheet, and ``place`` in the sheet.
+
+    Both count from 0 without gaps. Nulls come first; rows equal in all of these stand side by side.
+    """
+    order = [F.col(c) for c in (*keys, "y0", "x0", "y1", "x1", "source_kind", "candidate_id")]
+    placed = positions(df, order, "position")
+    first = placed.groupBy(*keys).agg(F.min("position").alias("_first"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return placed.alias("a").join(first.alias("b"), same).select("a.*", (F.col("position") - F.col("_first")).alias("place"))
+
+
 def inside_area(texts: DataFrame, frames: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Texts whose centre is not in the outer band of their page."""
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2

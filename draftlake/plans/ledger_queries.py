@@ -151,6 +151,29 @@ select l_suppkey sheet_id, case when exists(select 1 from p where s = l_suppkey
   when exists(select 1 from p where s = l_suppkey and abs(l_quantity - pv) <= greatest(0.005::double, 0.002::double * l_quantity)) then 'present' else 'absent' end as level, count(*) decisions from lineitem group by 1, 2"""
 
 
+def point_levels(spark, sf):
+    part = table(spark, sf, "part")
+    circles = part.where("p_partkey % 2 = 0").selectExpr("p_partkey % 100 as sheet_id", "p_partkey as id", "cast(p_partkey % 61 as double) as cx", "cast(p_partkey % 43 as double) as cy")
+    edges = part.where("p_partkey % 2 = 1").selectExpr("p_partkey % 100 as sheet_id", "p_partkey as id", "cast(p_partkey % 61 as double) as x0", "cast(p_partkey % 43 as double) as y0",
+                                                       "cast(p_partkey % 61 + p_size as double) as x1", "cast(p_partkey % 43 + p_partkey % 13 as double) as y1")
+    claims = part.selectExpr("p_partkey % 100 as sheet_id", "p_partkey as geometry_id", "cast(p_size as double) as printed_mm")
+    d = table(spark, sf, "lineitem").selectExpr("l_suppkey % 100 as sheet_id", "case when l_linenumber < 7 then l_orderkey % 64 + 0.5D * (l_linenumber % 2) end as x", "cast(l_partkey % 45 as double) as y", "l_quantity as value")
+    return cov.point_evidence(d, circles, edges, claims, _printed(spark, sf)).groupBy("sheet_id", "level").agg(F.count(F.lit(1)).alias("decisions"), F.sum("n_geometry").alias("n_geometry"))
+
+
+QUERIES["point_evidence_lineitem"] = point_levels
+ORACLES["point_evidence_lineitem"] = """with p as (select p_partkey % 100 s, p_partkey g, p_size::double v, p_size + case when p_partkey % 7 = 0 then 0.5::double else 0 end pv from part),
+a as (select p_partkey % 100 s, p_partkey g, (p_partkey % 61)::double ax, (p_partkey % 43)::double ay from part
+  union all select p_partkey % 100, p_partkey, p_partkey % 61 + p_size, p_partkey % 43 + p_partkey % 13 from part where p_partkey % 2 = 1),
+d as (select l_suppkey % 100 s, case when l_linenumber < 7 then l_orderkey % 64 + 0.5::double * (l_linenumber % 2) end x, (l_partkey % 45)::double y, l_quantity v from lineitem),
+q as (select distinct s, x, y, v from d),
+f as (select distinct q.s, x, y, q.v, a.g from q join a on q.s = a.s and abs(ax - x) <= 2 and abs(ay - y) <= 2),
+b as (select f.s, x, y, f.v, count(*) n, bool_or(abs(p.v - f.v) <= greatest(0.05::double, 0.01::double * f.v)) tied from f join p on p.s = f.s and p.g = f.g group by 1, 2, 3, 4),
+k as (select q.s, v, bool_or(abs(pv - q.v) <= greatest(0.005::double, 0.002::double * q.v)) seen from (select distinct s, v q_v from q) z join q on q.s = z.s and q.v = z.q_v join (select distinct s ps, pv from p) on ps = q.s group by 1, 2)
+select d.s sheet_id, case when tied then 'bound' when seen then 'present' else 'absent' end as level, count(*) decisions, sum(coalesce(n, 0))::bigint n_geometry
+from d left join b on b.s = d.s and b.x is not distinct from d.x and b.y = d.y and b.v = d.v left join k on k.s = d.s and k.v = d.v group by 1, 2"""
+
+
 def qa(spark, sf):
     li = table(spark, sf, "lineitem")
     lab = li.where("l_linenumber % 3 > 0").selectExpr("l_orderkey as part_id", "l_returnflag as role", "cast(l_linenumber as string) as text", "l_quantity as value_mm", "l_linestatus as datum")

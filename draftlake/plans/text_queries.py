@@ -251,6 +251,17 @@ select sheet_id, x0, y0, x1, y1, source_kind, count(distinct id) n_ids, case whe
 from ok group by 1, 2, 3, 4, 5, 6"""
 
 
+def reading_order(spark, sf):
+    cands, _ = texts.callout_candidates(*_observed(spark, sf), "detector/1")
+    return texts.canonical_order(cands).select("sheet_id", "x0", "y0", "x1", "y1", "source_kind", "place", "position")
+
+
+QUERIES["reading_order_lineitem"] = reading_order
+ORACLES["reading_order_lineitem"] = f"""with {_REGIONS_SQL},
+c as (select distinct sheet_id, x0, y0, x1, y1, source_kind from ok)
+select *, row_number() over (partition by sheet_id order by y0, x0, y1, x1, source_kind) - 1 as place, row_number() over (order by sheet_id, y0, x0, y1, x1, source_kind) - 1 as position from c"""
+
+
 def candidate_ids(spark, sf):
     return texts.candidate_observations(*_observed(spark, sf), "detector/1").select("sheet_id", "x0", "y0", "x1", "y1", "source_kind", "id")
 

@@ -105,7 +105,10 @@ def append_results(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
 
 
 def load_attempts(spark: SparkSession, path: str) -> DataFrame:
-    """Attempt folders ``<cell>/<attempt>/{manifest,result}.json``; a folder without a readable result is an orphan."""
+    """Attempt folders ``<cell>/<attempt>/{manifest,result}.json``; a folder without a readable result is an orphan.
+
+    ``seq`` orders a cell's attempts: by the last number in the folder's name (run-10 after run-9; none: first), then by name.
+    """
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/[^/]+$", 1)
     attempt = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/[^/]+$", 2)
     read = lambda file, schema: spark.read.schema(schema).option("multiLine", "true").json(f"{path}/*/*/{file}").withColumn("cell", name).withColumn("attempt_dir", attempt)
@@ -113,5 +116,6 @@ def load_attempts(spark: SparkSession, path: str) -> DataFrame:
     m = m.select("cell", "attempt_dir", F.struct(*[c for c in m.columns if c not in ("cell", "attempt_dir")]).alias("manifest"))
     r = read("result.json", "attempt_id string, state string, parsed boolean").where("state is not null")
     j = m.join(r, ["cell", "attempt_dir"], "left")
-    return j.select("cell", "attempt_dir", F.coalesce("attempt_id", F.concat_ws("/", "cell", "attempt_dir")).alias("attempt_id"), F.col("attempt_dir").alias("seq"), "state",
+    number = F.coalesce(F.expr("try_cast(regexp_extract(attempt_dir, '([0-9]+)[^0-9]*$', 1) as decimal(38,0))"), F.lit(-1))
+    return j.select("cell", "attempt_dir", F.coalesce("attempt_id", F.concat_ws("/", "cell", "attempt_dir")).alias("attempt_id"), F.struct(number.alias("number"), F.col("attempt_dir").alias("name")).alias("seq"), "state",
                     F.coalesce("parsed", F.lit(False)).alias("parsed"), "manifest", F.col("state").isNotNull().alias("has_result"))

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from draftlake.operators import ledger
 from draftlake.sources import landing
 
 
@@ -49,3 +50,15 @@ def test_attempts_and_fingerprints(spark, tmp_path):
     assert got == {"a1": True, "a2": False}
     files = landing.fingerprint_files(spark, str(tmp_path / "cell" / "a1" / "*.json"))
     assert files.count() == 2 and all(len(r["sha256"]) == 64 for r in files.collect())
+
+
+def test_attempts_are_ordered_by_number(spark, tmp_path):
+    for name in ("run-9", "run-10", "last"):
+        folder = tmp_path / "cell" / name
+        folder.mkdir(parents=True)
+        (folder / "manifest.json").write_text(json.dumps({"experiment": "e"}))
+        (folder / "result.json").write_text(json.dumps({"attempt_id": name, "state": "failed"}))
+    rows = landing.load_attempts(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r["attempt_dir"] for r in rows] == ["last", "run-9", "run-10"]
+    chosen, _ = ledger.select_attempts(landing.load_attempts(spark, str(tmp_path)), dict.fromkeys(ledger.IDENTITY) | {"experiment": "e"})
+    assert chosen.first()["attempt_id"] == "run-10"
