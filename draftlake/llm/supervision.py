@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.llm.inline import bound
 from draftlake.session import cut
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -52,18 +53,14 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def covered(runs: Column) -> Column:
     """Words inside windows that occur at least twice: sorted by hash, equal windows stand side by side; back in text order,
-    each adds what the one before does not cover."""
-    empty = F.expr("cast(array() as array<int>)")
-    ordered = F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    state = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i"), F.lit(False).alias("open"), empty.alias("out"))
-    # A window is noted when its successor is equal, or when it equals its predecessor.
-    step = lambda acc, x: F.when(acc["h"] == x["h"], F.struct(
-        x["h"].alias("h"), x["i"].alias("i"), F.lit(True).alias("open"),
-        F.when(acc["open"], F.array_append(acc["out"], x["i"])).otherwise(F.concat(acc["out"], F.array(acc["i"], x["i"]))).alias("out"))).otherwise(
-        F.struct(x["h"].alias("h"), x["i"].alias("i"), F.lit(False).alias("open"), acc["out"].alias("out")))
-    noted = F.array_sort(F.aggregate(ordered, state, step, lambda acc: acc["out"]))
+    each adds what the one before does not cover. No list grows step by step, so the work is that of the sorts."""
+    def noted(ordered: Column) -> Column:
+        like = lambda x, i: F.coalesce(x["h"] == F.get(ordered, i)["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(ordered, lambda x, i: like(x, i - 1) | like(x, i + 1)), lambda x: x["i"]))
+
+    places = bound(F.array_sort(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), noted)
     begin = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    return F.aggregate(noted, begin, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"])
+    return F.aggregate(places, begin, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
 
 def _vote(good: Column | None, bad: Column | None) -> Column:
