@@ -8,9 +8,11 @@ joined on: each meets the roles that its scope holds, so work grows with the par
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftlake.llm.inline import before, blocks, bound
+
 # Fixed values of the contract: the patterns of the three base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -32,7 +34,7 @@ ROLES = {"assign": "secret", "string": "secret", "hex": "secret", "access": "ide
 def spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<start, kind, end>> of the leftmost non-overlapping matches, in code points.
 
-    The matches and the texts between them alternate, so places are running sums of their lengths.
+    The matches and the texts between them alternate, so places are running sums of their lengths, block by block.
     """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -40,17 +42,26 @@ def spans(text: Column, pattern: str, kind: str) -> Column:
 
 
 def _places(gaps: Column, found: Column, good: Column, kind: str) -> Column:
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), good.alias("good"))
+    lengths = F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), good.alias("good")),
+                          lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["match"]).alias("match"), x["good"].alias("good")))
     empty = F.expr(f"cast(array() as {SPANS})")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["match"])
+        start = acc["at"] + x["gap"]
+        end = start + x["match"]
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["good"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(rows, state, add, lambda acc: acc["out"])
+    def inside(rows: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        return F.transform(blocks(F.size(rows)), lambda b: F.aggregate(F.sequence(b["lo"], b["hi"]), start, lambda acc, i: add(acc, F.get(rows, i))))
+
+    def moved(parts: Column) -> Column:
+        begins = before(F.transform(parts, lambda b: b["at"]), F.lit(0), lambda now, x: now + x)
+        return F.flatten(F.zip_with(parts, begins, lambda b, o: F.transform(b["out"], lambda s: F.struct(
+            (s["start"] + o).alias("start"), s["kind"].alias("kind"), (s["end"] + o).alias("end")))))
+
+    return bound(bound(lengths, inside), moved)
 
 
 def _present(text: Column, pattern: str, value: Column) -> Column:
@@ -83,15 +94,20 @@ def _role(kind: Column) -> Column:
 
 
 def linked(parts: DataFrame) -> DataFrame:
-    """(key, spans): the weak parts that a complementary part completes.
+    """(key, more): the weak parts that a complementary part completes, unless a base span covers them.
 
     ``parts`` (key, scope_starts, spans) holds the parts of each distinct text. A secret is completed by any part of its
-    scope that is none, the others by a secret of their scope.
+    scope that is none, the others by a secret of their scope. Scopes and covering spans are running values over the starts.
     """
-    one = parts.select("key", "scope_starts", F.explode("spans").alias("s")).select(
-        "key", "s", (_role(F.col("s.kind")) == "secret").alias("secret"), F.size(F.filter("scope_starts", lambda p: p <= F.col("s.start"))).alias("scope"))
+    marks = F.transform("scope_starts", lambda p: F.struct(p.alias("start"), F.lit(-1).alias("kind"), p.alias("end")))
+    so_far = Window.partitionBy("key").orderBy("s.start")  # what starts at the same place counts as well
+    kind = F.col("s.kind")
+    one = parts.select("key", F.explode(F.concat("spans", marks)).alias("s")).select(
+        "key", "s", F.count_if(kind < 0).over(so_far).alias("scope"), F.max(F.when(kind.between(0, 2), F.col("s.end"))).over(so_far).alias("reach")).where(kind >= 0)
+    one = one.withColumn("secret", _role(kind) == "secret")
     whole = one.groupBy("key", "scope").agg(F.max("secret").alias("secrets"), F.min("secret").alias("only")).where("secrets and not only")
-    return one.where(F.col("s.kind") >= 3).join(whole, ["key", "scope"], "left_semi").groupBy("key").agg(F.collect_set("s").alias("more"))
+    free = one.where((kind >= 3) & (F.coalesce("reach", F.lit(-1)) < F.col("s.end")))
+    return free.join(whole, ["key", "scope"], "left_semi").groupBy("key").agg(F.collect_set("s").alias("more"))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -111,7 +127,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     starts = F.transform(spans(F.col("body"), BLANK, "assign"), lambda s: s["end"])
     parts = keyed.where(hopeful).select("key", starts.alias("scope_starts"), both.alias("spans")).distinct()
     joined = keyed.select("row", "base", "key").join(linked(parts), "key", "left")
-    extra = F.filter(F.coalesce("more", F.expr(f"cast(array() as {SPANS})")), lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    extra = F.coalesce("more", F.expr(f"cast(array() as {SPANS})"))
     return joined.select("row", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
@@ -122,14 +138,33 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     return found.select("row.doc_id", *map(count, KINDS[:3]), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def _marked(text: Column, spans_: Column, mark: str) -> Column:
+    """The text with every span replaced; a block of spans works on its own stretch of the text."""
+    def of(rows: Column) -> Column:
+        ends = F.transform(blocks(F.size(rows)), lambda b: F.struct(
+            b["lo"].alias("lo"), b["hi"].alias("hi"), F.aggregate(F.sequence(b["lo"], b["hi"]), F.lit(0), lambda m, i: F.greatest(m, F.get(rows, i)["end"])).alias("end")))
+        return bound(ends, lambda parts: joined(rows, parts))
+
+    def joined(rows: Column, parts: Column) -> Column:
+        begins = before(F.transform(parts, lambda b: b["end"]), F.lit(0), lambda now, x: F.greatest(now, x))
+        pieces = F.zip_with(parts, begins, lambda b, at: bound(F.substring(text, at + 1, F.greatest(b["end"] - at, F.lit(0))), lambda own: piece(rows, b, at, own)))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform(parts, lambda b: b["end"])) + 1, F.char_length(text)))
+
+    def piece(rows: Column, b: Column, first: Column, own: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            before_it = F.concat(acc["out"], F.substring(own, acc["at"] - first + 1, s["start"] - acc["at"]), F.lit(mark))
+            return F.struct(F.when(s["start"] >= acc["at"], before_it).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+        start = F.struct(F.lit("").alias("out"), first.alias("at"))
+        return F.aggregate(F.sequence(b["lo"], b["hi"]), start, lambda acc, i: step(acc, F.get(rows, i)), lambda acc: acc["out"])
+
+    return bound(spans_, of)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span found replaced by ``mark``; all rows and columns stay, n_chars follows the text. Overlapping spans are one."""
     text = F.col("row.text")
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    cleaned = _marked(text, F.col("spans"), mark)
     found = find_secrets(docs).withColumn("clean", F.when(F.size("spans") == 0, text).otherwise(cleaned))
     changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
