@@ -53,8 +53,8 @@ select sheet_id, round(max(ratio) filter (where pos = n // 2 + 1), 6) px_per_mm,
 def scale_fit(spark, sf):
     rows = scale.fit_scale(readings(spark, sf), conflict_mm=10.0)
     return rows.groupBy("sheet_id").agg(
-        F.count(F.lit(1)).alias("readings"), F.count_if("conflict").alias("conflicts"),
-        F.round(F.max("px_per_mm"), 3).alias("px_per_mm"), F.round(F.max("residual_mm"), 2).alias("worst_mm"))
+        F.count(F.lit(1)).alias("readings"), F.count_if(F.abs("error_mm") > 10.0).alias("conflicts"),
+        F.round(F.max("px_per_mm"), 3).alias("px_per_mm"), F.round(F.max("error_mm"), 2).alias("worst_mm"))
 
 
 QUERIES["scale_least_squares_lineitem"] = scale_fit
