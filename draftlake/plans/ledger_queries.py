@@ -259,8 +259,10 @@ def alignments(spark, sf):
     truth = _features(spark, sf)
     swap = lambda c: F.array(-F.col(c)[1], F.col(c)[0], F.col(c)[2])
     produced = truth.withColumn("centre", swap("centre")).withColumn("axis_point", swap("axis_point")).withColumn("axis_direction", swap("axis_direction"))
-    lim = lambda df, p: df.groupBy("part_id").agg(*[f(F.col("centre")[i] + s).alias(f"{p}{n}{i}") for n, f, s in (("lo", F.min, -1.0), ("hi", F.max, 1.0)) for i in range(3)])
-    b = lim(produced, "p").join(lim(truth, "t"), "part_id")
+    lim = lambda df, p, below, above: df.groupBy("part_id").agg(
+        *[(F.min(F.col("centre")[i]) - below[i]).alias(f"{p}lo{i}") for i in range(3)], *[(F.max(F.col("centre")[i]) + above[i]).alias(f"{p}hi{i}") for i in range(3)])
+    # The body reaches differently far beyond its holes on each side, so a part with a single hole has one pose, too.
+    b = lim(produced, "p", (3.0, 1.0, 1.0), (1.0, 2.0, 4.0)).join(lim(truth, "t", (1.0, 1.0, 1.0), (2.0, 3.0, 4.0)), "part_id")
     arr = lambda p, n: F.array(*[F.col(f"{p}{n}{i}") for i in range(3)])
     boxes = b.select("part_id", arr("p", "lo").alias("p_min"), arr("p", "hi").alias("p_max"), arr("t", "lo").alias("t_min"), arr("t", "hi").alias("t_max"))
     return solids.align_features(produced, truth, boxes).select("part_id", "rotation", "extras", "missing", "issues")
