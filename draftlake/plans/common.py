@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftlake.session import broadcast_by_measure
 
 SPREAD_BELOW = 256 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    broadcast_by_measure(spark)
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BELOW
