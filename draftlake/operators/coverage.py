@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from draftlake import constants as K
 from draftlake.functions.geometry import hypot
 from draftlake.functions.text import normalize_text, squash, text_class
-from draftlake.operators.grid import cell, near_pairs, near_values, neighbours
+from draftlake.operators.grid import cell, near_values, nearest_within, neighbours
 from draftlake.operators.scan import rank_value
 
 SAME_REL, SAME_ABS = 0.001, 1e-6
@@ -124,12 +124,9 @@ def pair_labels(labels: DataFrame, readings: DataFrame, keys: Sequence[str] = ("
 def nearest_id(points: DataFrame, measured: DataFrame, radius: float, keys: Sequence[str] = ("sheet_id",)) -> DataFrame:
     """The nearest measured geometry within ``radius`` per point; equal distances: first in ``ord``."""
     keys = list(keys)
-    # One representative per measured position; only the first of coincident ids can win.
-    reps = measured.groupBy(*keys, F.col("x").alias("mx"), F.col("y").alias("my")).agg(F.min(F.struct("ord", "geometry_id")).alias("g"))
-    places = points.select(*keys, "x", "y").distinct()
-    pairs = near_pairs(places, reps, keys, radius, ("x", "y"), ("mx", "my"), "distance")
-    best = pairs.groupBy(*keys, "x", "y").agg(F.min(F.struct("distance", "g")).alias("m"))
-    best = best.select(*keys, "x", "y", F.col("m.g.geometry_id").alias("geometry_id"), F.col("m.distance").alias("distance"))
+    own = measured.select(*keys, F.col("x").alias("mx"), F.col("y").alias("my"), "ord", "geometry_id")
+    best = nearest_within(points, own, keys, radius, ("x", "y"), ("mx", "my"), ["ord", "geometry_id"])
+    best = best.select(*keys, "x", "y", "nearest.geometry_id", "nearest.distance")
     return points.join(best, [*keys, "x", "y"], "left")
 
 

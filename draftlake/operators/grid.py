@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.session import cut
+
 
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size)))
@@ -42,6 +44,41 @@ def near_pairs(
     )
 
 
+def nearest_within(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float,
+    lxy: tuple[str, str], rxy: tuple[str, str], tie: Sequence[str], out: str = "nearest",
+) -> DataFrame:
+    """(keys, lxy, out): for each left place the least struct (distance, *tie) of the right points within ``radius``.
+
+    The disc begins at the mean gap between the points of a key and doubles for the places that met nothing, so a place
+    meets a few points however crowded its sheet is, and the rounds grow with the logarithm of the radius in such gaps.
+    Places without any point within ``radius`` are left out.
+    """
+    keys = list(keys)
+    lx, ly, rx, ry = (F.col(c) for c in (*lxy, *rxy))
+    points = right.groupBy(*keys, *rxy).agg(F.min(F.struct(*tie)).alias("_tie"))
+    wide, high = F.max(rx) - F.min(rx), F.max(ry) - F.min(ry)
+    gap = F.greatest(F.sqrt(wide * high / F.count(F.lit(1))), F.greatest(wide, high) / F.count(F.lit(1)), F.lit(radius / 4096))
+    points = cut(points)
+    start = points.groupBy(*keys).agg(F.least(gap, F.lit(float(radius))).alias("_r"))
+    points = points.join(start, keys)
+    opened, found, times = cut(left.select(*keys, *lxy).distinct().join(start, keys)), None, 1.0
+    while True:
+        r = F.least(F.col("_r") * times, F.lit(float(radius)))
+        reach, size = r * (1 + 1e-9), r * 2
+        at = lambda v, off: F.floor((v + off) / size)
+        spread = opened.withColumn("_cx", F.explode(F.sequence(at(lx, -reach), at(lx, reach)))).withColumn("_cy", F.explode(F.sequence(at(ly, -reach), at(ly, reach))))
+        placed = points.select(*keys, *rxy, "_tie", F.floor(rx / size).alias("_cx"), F.floor(ry / size).alias("_cy"))
+        distance = F.sqrt((lx - rx) * (lx - rx) + (ly - ry) * (ly - ry))
+        hits = spread.join(placed, [*keys, "_cx", "_cy"]).withColumn("_d", distance).where(F.col("_d") <= r)
+        hits = cut(hits.groupBy(*keys, *lxy).agg(F.min(F.struct(F.col("_d").alias("distance"), "_tie.*")).alias(out)))
+        found = hits if found is None else found.unionByName(hits)
+        opened = cut(opened.where(F.col("_r") * times < radius).join(hits, [*keys, *lxy], "left_anti"))
+        if opened.isEmpty():
+            return found
+        times *= 2
+
+
 def near_values(
     left: DataFrame, right: DataFrame, keys: Sequence[str], lvalue: str, rvalue: str, reach: Column, size: float,
     condition: Column,
