@@ -12,6 +12,7 @@ from draftlake.functions.geometry import hypot
 from draftlake.functions.text import normalize_text, squash, text_class
 from draftlake.operators.grid import cell, near_values, nearest_within, neighbours
 from draftlake.operators.scan import rank_value
+from draftlake.session import cut
 
 SAME_REL, SAME_ABS = 0.001, 1e-6
 NEEDS_BETWEEN = ["distance"]
@@ -188,11 +189,38 @@ def compare_parts(produced: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("detail_ok", F.col("volume_ok") & F.col("cylinders_ok")).withColumn("passed", F.col("shape_ok") & F.col("detail_ok"))
 
 
+def _gaps_found(cylinders: DataFrame, want: DataFrame, limit: Column) -> DataFrame:
+    """(part_id, wanted) of ``want`` that some pair of axes keeps, off by ``limit`` (half a unit at least) at most.
+
+    The gaps of a part are kept as the least and the greatest one of each half unit, which decides every window of a unit
+    or more. Some 64 axes of a part are measured against all first, then eight times as many for the distances not seen
+    yet, until all are. Distances beyond the part's own box need no look.
+    """
+    spots = cylinders.select("part_id", "x", "y").distinct()
+    box = spots.groupBy("part_id").agg(F.count(F.lit(1)).alias("_n"), hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_far"))
+    spots = cut(spots.join(box.select("part_id", "_n"), "part_id").withColumn("_h", F.xxhash64("x", "y")))
+    opened = cut(want.join(box, "part_id").where(F.col("wanted") - limit <= F.col("_far") * (1 + 1e-9)).select("part_id", "wanted", "_n"))
+    found, axes = None, 64
+    while True:
+        parts = opened.select("part_id").distinct()
+        some = spots.join(parts, "part_id", "left_semi").where(F.pmod("_h", F.ceil(F.col("_n") / axes)) == 0).select("part_id", F.col("x").alias("ax"), F.col("y").alias("ay"))
+        gap = some.join(spots, "part_id").select("part_id", hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")).alias("_gap"))
+        ends = gap.groupBy("part_id", cell(F.col("_gap"), 0.5).alias("_b")).agg(F.min("_gap").alias("lo"), F.max("_gap").alias("hi"))
+        seen = ends.select("part_id", F.explode(F.array("lo", "hi")).alias("_gap"))
+        hits = near_values(opened, seen, ["part_id"], "wanted", "_gap", limit * (1 + 1e-9), 0.5, F.abs(F.col("_gap") - F.col("wanted")) <= limit)
+        hits = cut(hits.select("part_id", "wanted").distinct())
+        found = hits if found is None else found.unionByName(hits)
+        opened = cut(opened.where(F.col("_n") > axes).join(hits, ["part_id", "wanted"], "left_anti"))
+        if opened.isEmpty():
+            return found
+        axes *= 8
+
+
 def check_readings(claims: DataFrame, cylinders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(checks, parts): confirmed sizes need a cylinder, centre distances a pair of axes, within max(1 %, 0.5 mm).
 
     ``claims`` (part_id, span_id, form, printed_mm, both_centres), ``cylinders`` (part_id, radius, x, y). A part
-    without any check has ok NULL. Axis gaps are bucketed per wanted distance, so only axes on the wanted ring meet.
+    without any check has ok NULL.
     """
     wanted = F.when(F.col("form") == "diameter", F.col("printed_mm") / 2).otherwise(F.col("printed_mm"))
     sizes = claims.where("form in ('diameter', 'radius')").withColumn("wanted", wanted)
@@ -202,23 +230,9 @@ def check_readings(claims: DataFrame, cylinders: DataFrame) -> tuple[DataFrame,
     ok = near_values(asked, radii, ["part_id"], "wanted", "radius", limit, 1.0, F.abs(F.col("radius") - F.col("wanted")) <= limit)
     ok = ok.select("part_id", "wanted").distinct().withColumn("_ok", F.lit(True))
     size_checks = sizes.join(ok, ["part_id", "wanted"], "left").select("part_id", "span_id", "form", F.coalesce("_ok", F.lit(False)).alias("ok"))
-    spots = cylinders.select("part_id", "x", "y").distinct()
     pairs_exist = cylinders.groupBy("part_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("part_id")
     gaps = claims.where("form = 'distance' and both_centres").withColumn("wanted", F.col("printed_mm")).join(pairs_exist, "part_id", "left_semi")
-    want = gaps.select("part_id", "wanted").distinct()
-    g = F.greatest(F.col("wanted"), F.lit(1.0))
-    # Cells half the wanted distance wide: the ring and its neighbours are at most 25 distinct cells.
-    n = 16
-    cellof = lambda v, w: F.floor(v / (w / 2))
-    turn = lambda i: i * 2 * 3.141592653589793 / n
-    around = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n * 9 - 1)), lambda i: F.array(F.struct(
-        (cellof(F.col("x") + F.col("wanted") * F.cos(turn(F.floor(i / 9))), g) + (i % 3) - 1).alias("cx"),
-        (cellof(F.col("y") + F.col("wanted") * F.sin(turn(F.floor(i / 9))), g) + (F.floor(i / 3) % 3) - 1).alias("cy"))))))
-    first = spots.join(want, "part_id").withColumn("_c", F.explode(around)).select(
-        "part_id", "wanted", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
-    second = spots.join(want, "part_id").select("part_id", "wanted", "x", "y", cellof(F.col("x"), g).alias("_cx"), cellof(F.col("y"), g).alias("_cy"))
-    gap_ok = first.join(second, ["part_id", "wanted", "_cx", "_cy"]).where(F.abs(hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) - F.col("wanted")) <= limit)
-    gap_ok = gap_ok.select("part_id", "wanted").distinct().withColumn("_ok", F.lit(True))
+    gap_ok = _gaps_found(cylinders, gaps.select("part_id", "wanted").distinct(), limit).withColumn("_ok", F.lit(True))
     gap_checks = gaps.join(gap_ok, ["part_id", "wanted"], "left").select("part_id", "span_id", "form", F.coalesce("_ok", F.lit(False)).alias("ok"))
     checks = size_checks.unionByName(gap_checks)
     return checks, claims.select("part_id").distinct().join(checks.groupBy("part_id").agg(F.count(F.lit(1)).alias("checked"), F.bool_and("ok").alias("ok")), "part_id", "left").fillna(0, ["checked"])
