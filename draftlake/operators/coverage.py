@@ -317,17 +317,25 @@ def inject_defects(proposals: DataFrame) -> DataFrame:
 BOUND_TOLERANCE, PRINTED_TOLERANCE = (0.05, 0.01), (0.005, 0.002)
 
 
+def _near(x: Column, tolerance: tuple[float, float]) -> Column:
+    return F.abs(x - F.col("value")) <= F.greatest(F.lit(tolerance[0]), tolerance[1] * F.col("value"))
+
+
+def _close(values: DataFrame, printed: DataFrame, keys: Sequence[str], tolerance: tuple[float, float]) -> DataFrame:
+    """(keys, value, printed): the distinct numbers of a key that are near each other."""
+    # On this scale a step is at least the tolerance at any size, so neighbours two steps away hold all that is near.
+    step = lambda c: F.floor(F.ln(F.abs(c) + tolerance[0] / tolerance[1]) / tolerance[1])
+    vals = values.select(*keys, "value").distinct().withColumn("_s", F.explode(F.array(*(step(F.col("value")) + i for i in range(-2, 3)))))
+    marks = printed.select(*keys, "printed").distinct().withColumn("_s", step(F.col("printed")))
+    return vals.join(marks, [*keys, "_s"]).where(_near(F.col("printed"), tolerance)).select(*keys, "value", "printed")
+
+
 def evidence_level(decisions: DataFrame, claims: DataFrame, printed: DataFrame, keys: Sequence[str] = ("sheet_id",)) -> DataFrame:
     """bound (a claim ties the value to the decided geometry), present (the value is printed) or absent."""
     keys = list(keys)
-    near = lambda x, tol: F.abs(x - F.col("value")) <= F.greatest(F.lit(tol[0]), tol[1] * F.col("value"))
-    # On this scale a step is at least the printed tolerance at any size, so neighbours two steps away hold all that is near.
-    step = lambda c: F.floor(F.ln(F.abs(c) + PRINTED_TOLERANCE[0] / PRINTED_TOLERANCE[1]) / PRINTED_TOLERANCE[1])
-    vals = decisions.select(*keys, "value").distinct().withColumn("_s", F.explode(F.array(*(step(F.col("value")) + i for i in range(-2, 3)))))
-    marks = printed.select(*keys, "printed").distinct().withColumn("_s", step(F.col("printed")))
-    seen = vals.join(marks, [*keys, "_s"]).where(near(F.col("printed"), PRINTED_TOLERANCE)).select(*keys, "value").distinct().withColumn("_p", F.lit(True))
+    seen = _close(decisions, printed, keys, PRINTED_TOLERANCE).select(*keys, "value").distinct().withColumn("_p", F.lit(True))
     tied = decisions.select(*keys, "geometry_id", "value").distinct().join(claims.select(*keys, "geometry_id", "printed_mm").distinct(), [*keys, "geometry_id"])
-    tied = tied.where(near(F.col("printed_mm"), BOUND_TOLERANCE)).select(*keys, "geometry_id", "value").distinct().withColumn("_b", F.lit(True))
+    tied = tied.where(_near(F.col("printed_mm"), BOUND_TOLERANCE)).select(*keys, "geometry_id", "value").distinct().withColumn("_b", F.lit(True))
     out = decisions.join(seen, [*keys, "value"], "left").join(tied, [*keys, "geometry_id", "value"], "left")
     return out.withColumn("level", F.when(F.col("_b"), "bound").when(F.col("_p"), "present").otherwise("absent")).drop("_p", "_b")
 
@@ -336,6 +344,22 @@ def evidence_level(decisions: DataFrame, claims: DataFrame, printed: DataFrame,
 POINT_TOLERANCE = 2.0
 
 
+def _places(circles: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, ax, ay): the centre of a circle, the ends of an edge, each place of a geometry once."""
+    ends = edges.select(*keys, "id", F.inline(F.array(F.struct(F.col("x0").alias("ax"), F.col("y0").alias("ay")), F.struct(F.col("x1").alias("ax"), F.col("y1").alias("ay")))))
+    return circles.select(*keys, "id", F.col("cx").alias("ax"), F.col("cy").alias("ay")).unionByName(ends).distinct()
+
+
+def _met(points: DataFrame, places: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """Distinct points (x, y) with every row of ``places`` (ax, ay, ...) within ``tolerance`` on both axes, each pair once."""
+    size = 2 * tolerance
+    visit = lambda c: F.explode(neighbours(F.col(c), size, tolerance + 1e-6))  # a hair more, so that rounding loses no touching pair
+    spots = points.select(*keys, "x", "y").distinct().withColumn("_cx", visit("x")).withColumn("_cy", visit("y"))
+    placed = places.withColumn("_cx", cell(F.col("ax"), size)).withColumn("_cy", cell(F.col("ay"), size))
+    near = (F.abs(F.col("ax") - F.col("x")) <= tolerance) & (F.abs(F.col("ay") - F.col("y")) <= tolerance)
+    return spots.join(placed, [*keys, "_cx", "_cy"]).where(near).drop("_cx", "_cy")
+
+
 def geometry_at(points: DataFrame, circles: DataFrame, edges: DataFrame, keys: Sequence[str] = ("sheet_id",), tolerance: float = POINT_TOLERANCE) -> DataFrame:
     """(keys, x, y, geometry_id): circles (id, cx, cy) whose centre, and edges (id, x0, y0, x1, y1) with an end, at a distinct point (x, y).
 
@@ -343,14 +367,21 @@ def geometry_at(points: DataFrame, circles: DataFrame, edges: DataFrame, keys: S
     split by cell; repeated points and anchors meet once.
     """
     keys = list(keys)
-    ends = edges.select(*keys, "id", F.inline(F.array(F.struct(F.col("x0").alias("ax"), F.col("y0").alias("ay")), F.struct(F.col("x1").alias("ax"), F.col("y1").alias("ay")))))
-    anchors = circles.select(*keys, "id", F.col("cx").alias("ax"), F.col("cy").alias("ay")).unionByName(ends).distinct()
-    size = 2 * tolerance
-    visit = lambda c: F.explode(neighbours(F.col(c), size, tolerance + 1e-6))  # a hair more, so that rounding loses no touching pair
-    spots = points.select(*keys, "x", "y").distinct().withColumn("_cx", visit("x")).withColumn("_cy", visit("y"))
-    placed = anchors.withColumn("_cx", cell(F.col("ax"), size)).withColumn("_cy", cell(F.col("ay"), size))
-    near = (F.abs(F.col("ax") - F.col("x")) <= tolerance) & (F.abs(F.col("ay") - F.col("y")) <= tolerance)
-    return spots.join(placed, [*keys, "_cx", "_cy"]).where(near).select(*keys, "x", "y", F.col("id").alias("geometry_id")).distinct()
+    return _met(points, _places(circles, edges, keys), keys, tolerance).select(*keys, "x", "y", F.col("id").alias("geometry_id")).distinct()
+
+
+def _counted(places: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """(keys, ax, ay, tag, n): how many geometries of ``_places`` stand at a place, without their ids.
+
+    No point meets two places of a geometry that has one, or two far apart, so those have no tag and their numbers add up.
+    Where a point may meet both places of a geometry, all with the same two share a tag and their number counts once; one
+    with more places has a tag of its own.
+    """
+    ends = places.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("ax", "ay")).alias("lo"), F.max(F.struct("ax", "ay")).alias("hi"))
+    wide = 2 * tolerance + 1e-6
+    apart = (F.abs(F.col("lo.ax") - F.col("hi.ax")) > wide) | (F.abs(F.col("lo.ay") - F.col("hi.ay")) > wide)
+    tag = F.when((F.col("_n") > 1) & ~((F.col("_n") == 2) & apart), F.struct("lo", "hi", F.when(F.col("_n") > 2, F.col("id").cast("string")).alias("own")))
+    return places.join(ends.select(*keys, "id", tag.alias("tag")), [*keys, "id"]).groupBy(*keys, "ax", "ay", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def point_evidence(
@@ -358,14 +389,22 @@ def point_evidence(
 ) -> DataFrame:
     """Decisions (x, y, value) with ``n_geometry`` at their point and the best ``level`` that the value has on any of it.
 
-    Without geometry, or without a point, a value can only be present or absent; a null value is absent.
+    Without geometry, or without a point, a value can only be present or absent; a null value is absent. Points meet places,
+    with the number of geometries there and the distinct values claimed of them, and not each geometry of a crowded place.
     """
-    asked = decisions.select(*keys, "x", "y", "value").distinct()
-    level = evidence_level(asked.join(geometry_at(asked, circles, edges, keys), [*keys, "x", "y"], "left"), claims, printed, keys)
-    rank = F.when(F.col("level") == "bound", 2).when(F.col("level") == "present", 1).otherwise(0)
-    best = level.groupBy(*keys, "x", "y", "value").agg(F.count("geometry_id").alias("n_geometry"), F.max_by("level", rank).alias("level"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "x", "y", "value")]
-    return decisions.alias("d").join(best.alias("b"), same).select("d.*", "b.n_geometry", "b.level")
+    keys = list(keys)
+    places = cut(_places(circles, edges, keys).where("id is not null"))
+    met = _met(decisions, _counted(places, keys, POINT_TOLERANCE), keys, POINT_TOLERANCE).groupBy(*keys, "x", "y", "tag").agg(
+        F.when(F.col("tag").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n"))
+    counts = met.groupBy(*keys, "x", "y").agg(F.sum("n").alias("n_geometry"))
+    claimed = places.join(claims.select(*keys, F.col("geometry_id").alias("id"), F.col("printed_mm").alias("printed")).distinct(), [*keys, "id"]).select(*keys, "ax", "ay", "printed").distinct()
+    held = _met(decisions, claimed, keys, POINT_TOLERANCE).select(*keys, "x", "y", "printed").distinct()
+    ties = _close(decisions, claims.select(*keys, F.col("printed_mm").alias("printed")), keys, BOUND_TOLERANCE)
+    tied = held.join(ties, [*keys, "printed"]).select(*keys, "x", "y", "value").distinct().withColumn("_b", F.lit(True))
+    seen = _close(decisions, printed, keys, PRINTED_TOLERANCE).select(*keys, "value").distinct().withColumn("_p", F.lit(True))
+    out = decisions.join(counts, [*keys, "x", "y"], "left").join(tied, [*keys, "x", "y", "value"], "left").join(seen, [*keys, "value"], "left")
+    level = F.when(F.col("_b"), "bound").when(F.col("_p"), "present").otherwise("absent")
+    return out.select(*decisions.columns, F.coalesce("n_geometry", F.lit(0)).alias("n_geometry"), level.alias("level"))
 
 
 def detector_score(df: DataFrame, predicted: str, truth: str, keys: Sequence[str] = ()) -> DataFrame:
