@@ -54,6 +54,8 @@ def assign_greedy(edges: DataFrame, left: Sequence[str], right: Sequence[str], o
 def ambiguity(scored: DataFrame, keys: Sequence[str], margin: float = MARGIN) -> DataFrame:
     """Claims that must not be paired: several candidates near their best, or a candidate near-best for several."""
     keys = list(keys)
+    # Asked seven times below, so the pairs of boxes are found once and written down.
+    scored = cut(scored.select(*keys, "claim_id", "candidate_id", "score"))
     claim, cand = [*keys, "claim_id"], [*keys, "candidate_id"]
     best_c = scored.groupBy(*claim).agg(F.max("score").alias("_b"))
     close = (
