@@ -15,6 +15,7 @@ from draftlake.operators.scan import positions
 SOURCE_KINDS = {"pdf-text": "vector_text", "tesseract-tsv": "raster_region"}
 REGION_KEYS = ["sheet_id", "source_digest", "x0", "y0", "x1", "y1", "source_kind"]
 MARGIN = 0.04
+WIDE = 2e-8  # Two steps of a rounded coordinate.
 
 
 def _placed(texts: DataFrame, frames: DataFrame) -> DataFrame:
@@ -27,7 +28,11 @@ def _placed(texts: DataFrame, frames: DataFrame) -> DataFrame:
               (F.col("x") + F.col("w")) / F.col("width"), (F.col("y") + F.col("h")) / F.col("height")]
     t = t.withColumns({n: F.when(F.col("issue").isNull(), F.bround(c, 8)) for n, c in zip(("x0", "y0", "x1", "y1"), scaled)})
     whole = (F.col("x0") >= 0) & (F.col("x0") < F.col("x1")) & (F.col("x1") <= 1) & (F.col("y0") >= 0) & (F.col("y0") < F.col("y1")) & (F.col("y1") <= 1)
-    return t.withColumn("issue", F.coalesce("issue", F.when(~whole, "region_collapsed")))
+    # Rounding moves an end by half a step of 1e-8 at most, so a wider box stays whole: filters on the issue, into which
+    # Spark copies all these columns, then round nothing for it.
+    sx0, sy0, sx1, sy1 = scaled
+    sure = (sx0 >= 0) & (sx1 - sx0 > WIDE) & (sx1 <= 1) & (sy0 >= 0) & (sy1 - sy0 > WIDE) & (sy1 <= 1)
+    return t.withColumn("issue", F.coalesce("issue", F.when(F.when(sure, False).otherwise(~whole), "region_collapsed")))
 
 
 def _candidate_id(df: DataFrame, detector_version: str) -> DataFrame:
