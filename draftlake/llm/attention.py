@@ -17,7 +17,7 @@ WIDTH = STRIDE + OVERLAP
 SIZE, HIDDEN = 16, 24
 CLASSES = 48
 OWN_ROWS, SHARED_ROWS = 2048, 128   # embeddings: the most frequent ids have one each, the rest share
-BATCH = 32                    # windows of a training step
+BATCH = 128                   # windows of a training step
 RATE = 0.02
 SEED = 13
 

@@ -3,7 +3,7 @@
 One pass counts the words of the training texts. A second writes every text's ids to the shared folder, with what frequent
 words add to its base score; rare words follow by a join. From the written ids all training texts are counted (pairs of
 ids), the network learns in rounds, and every text is scored. A hash deals the training texts over the rounds; in its round a
-text gives a share of its windows, chosen by a hash as well. Tasks train apart and their weights are averaged by windows. Training windows are a fixed share of all, so they grow with the table.
+text gives all its windows, so the network sees each training window once. Tasks train apart and their weights are averaged by windows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ LONGEST = 64           # bytes of a frequent word
 KNOWN = 1 << 20        # words whose ids a task keeps at hand
 CHUNK = 1 << 22        # bytes of text whose words are told apart together
 ROUNDS = 4
-SHARE = 8              # of a round's texts, one window in so many is trained on
 LINE = 1 << 14         # weights in a row on their way to the average
 MANY = 1 << 20         # ids that are scored together
 END = ""               # the end token among words
@@ -290,8 +289,8 @@ def count_vocabulary(pairs: DataFrame, ids: int) -> attention.Vocabulary:
     return attention.vocabulary(counts, after.reshape(rows, classes), inside.reshape(classes, ids), place, seen)
 
 
-def learn(train: DataFrame, voc: attention.Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
-    """Weights after ``rounds`` rounds over ``train`` (ids, row). Without training texts they stay as they start."""
+def learn(train: DataFrame, voc: attention.Vocabulary, rounds: int = ROUNDS, share: int = 1) -> np.ndarray:
+    """Weights after ``rounds`` rounds over ``train`` (ids, row); a ``share`` above 1 trains on one window in so many. Without training texts they stay as they start."""
     context = train.sparkSession.sparkContext
     shared = context.broadcast(voc)
     weights = attention.fresh()
@@ -351,7 +350,7 @@ def score(rows: DataFrame, voc: attention.Vocabulary, weights: np.ndarray, colum
     return rows.select("ids", *columns).mapInArrow(scored, schema)
 
 
-def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, path: str, rounds: int = ROUNDS, share: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts are one end token. Rows may repeat, and each gives one and trains as one; a null doc_id is not held
